@@ -355,9 +355,10 @@ def decode(tokens: DataFrame, model: bytes, name: str = "decoded", column: str =
     shared = tokens.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
-        lists = batch.column(column).to_pylist()
-        at = np.concatenate([[0], np.cumsum([len(x or ()) for x in lists])]).astype(np.int64)
-        ids = np.array([i for x in lists for i in x or ()], np.int64)
+        lists = batch.column(column)
+        size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        at = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+        ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
         return [pa.array(codec(shared.value).decode(ids, at), pa.string())]
 
     return frames.appended(tokens, [T.StructField(frames.fresh(tokens, name), T.StringType())], run)

@@ -38,6 +38,8 @@ from trajspark.llm import frames, text
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 4
 ALL_PAIRS, HUBS = 12, 4
+#: Candidate ids (8 bytes) that may be broadcast to pick their texts in the scan; beyond it texts are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def shingle_sets(texts: pa.Array, k: int = WORDS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -146,7 +148,9 @@ def sets_of(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
                     [batch.column(0).slice(a, n), pa.array(np.diff(cut)), pa.array([h[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:])], pa.binary())], names=["node", "n", "set"]
                 )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes, "node", "left_semi")
+    nodes = frames.written(nodes, "candidates")
+    few = F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes
+    rows = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(few, "node", "left_semi")
     return rows.mapInArrow(run, "node long, n long, set binary").where("n > 0")
 
 

@@ -10,6 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trajspark.llm.text import chunks
+
+#: Text bytes that an Arrow-batched operator handles and returns at once; one longer text makes a piece of its own.
+PIECE_BYTES = 2 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder for tables that cut lineage: ``spark.checkpoint.dir`` of the session.
@@ -49,14 +54,19 @@ def remainder(id_col: str | Column, divisor: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")), F.lit(divisor)).cast("int")
 
 
-def appended(docs: DataFrame, fields: list[T.StructField], fn: Callable[[pa.RecordBatch], list[pa.Array]]) -> DataFrame:
-    """``docs`` with columns that ``fn`` makes from each Arrow batch; all other columns pass through."""
+def appended(docs: DataFrame, fields: list[T.StructField], fn: Callable[[pa.RecordBatch], list[pa.Array]], by: str | None = "text") -> DataFrame:
+    """``docs`` with columns that ``fn`` makes from each Arrow batch; all other columns pass through.
+
+    Batches are handed on in pieces of about ``PIECE_BYTES`` of the column ``by``, which bounds a worker's memory.
+    """
     schema = T.StructType([*docs.schema.fields, *fields])
     names = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, *fn(batch)], names=names)
+            for a, b in chunks(batch.column(by), PIECE_BYTES) if by else [(0, batch.num_rows)]:
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*part.columns, *fn(part)], names=names)
 
     return docs.mapInArrow(run, schema)
 

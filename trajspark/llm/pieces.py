@@ -332,7 +332,7 @@ def codec(model: bytes) -> Codec:
     return _codecs[key]
 
 
-def _encoded(texts: pa.Array, model: bytes, step: int = 512):
+def _encoded(texts: pa.Array, model: bytes, step: int = 256):
     c = codec(model)
     for a in range(0, len(texts), step):
         part = texts.slice(a, step).to_pylist()
@@ -347,7 +347,7 @@ def encode(docs: DataFrame, model: bytes, name: str = "tokens", text: str = "tex
         got = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32())) for _, _, ids, at in _encoded(batch.column(text), shared.value)]
         return [pa.concat_arrays(got) if got else pa.array([], pa.list_(pa.int32()))]
 
-    return frames.appended(docs, [T.StructField(frames.fresh(docs, name), T.ArrayType(T.IntegerType()))], run)
+    return frames.appended(docs, [T.StructField(frames.fresh(docs, name), T.ArrayType(T.IntegerType()))], run, text)
 
 
 def decode(tokens: DataFrame, model: bytes, name: str = "decoded", column: str = "tokens") -> DataFrame:
@@ -355,13 +355,29 @@ def decode(tokens: DataFrame, model: bytes, name: str = "decoded", column: str =
     shared = tokens.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
-        lists = batch.column(column)
-        size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        at = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
-        ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        return [pa.array(codec(shared.value).decode(ids, at), pa.string())]
+        out: list[str] = []
+        for a in range(0, batch.num_rows, 256):
+            lists = batch.column(column).slice(a, 256)
+            size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            out += codec(shared.value).decode(lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(size)]).astype(np.int64))
+        return [pa.array(out, pa.string())]
 
-    return frames.appended(tokens, [T.StructField(frames.fresh(tokens, name), T.StringType())], run)
+    return frames.appended(tokens, [T.StructField(frames.fresh(tokens, name), T.StringType())], run, by=None)
+
+
+def round_trip(docs: DataFrame, model: bytes, text: str = "text", names: tuple[str, str] = ("tokens", "decoded")) -> DataFrame:
+    """``docs`` with the token ids of each whole text and the text that they decode to, in one pass."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batch: pa.RecordBatch) -> list[pa.Array]:
+        ids, texts = [pa.array([], pa.list_(pa.int32()))], []
+        for c, _, flat, at in _encoded(batch.column(text), shared.value):
+            ids.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int32())))
+            texts += c.decode(flat, at)
+        return [pa.concat_arrays(ids), pa.array(texts, pa.string())]
+
+    kinds = T.ArrayType(T.IntegerType()), T.StringType()
+    return frames.appended(docs, [T.StructField(frames.fresh(docs, n), k) for n, k in zip(names, kinds)], run, text)
 
 
 def digests(docs: DataFrame, model: bytes, text: str = "text", names: tuple[str, str, str] = ("n_tokens", "ids_sha256", "decoded_sha256")) -> DataFrame:
@@ -379,7 +395,7 @@ def digests(docs: DataFrame, model: bytes, text: str = "text", names: tuple[str,
         return [pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
 
     kinds = T.LongType(), T.StringType(), T.StringType()
-    return frames.appended(docs, [T.StructField(frames.fresh(docs, x), k) for x, k in zip(names, kinds)], run)
+    return frames.appended(docs, [T.StructField(frames.fresh(docs, x), k) for x, k in zip(names, kinds)], run, text)
 
 
 def model_bytes(path: str | None = None) -> bytes:

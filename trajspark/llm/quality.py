@@ -188,7 +188,7 @@ def with_statistics(docs: DataFrame, name: str, column: str = "text") -> DataFra
         s = statistics(batch.column(column))
         return [pa.StructArray.from_arrays([pa.array(s[:, k]) for k in range(len(STATS))], list(STATS))]
 
-    return frames.appended(docs, [T.StructField(name, kind)], run)
+    return frames.appended(docs, [T.StructField(name, kind)], run, column)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:

@@ -139,7 +139,7 @@ def scan(docs: DataFrame, name: str = "secrets", column: str = "text") -> DataFr
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
         return [pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in spans(t)] for t in batch.column(column).to_pylist()], arrow)]
 
-    return frames.appended(docs, [T.StructField(frames.fresh(docs, name), _SPAN)], run)
+    return frames.appended(docs, [T.StructField(frames.fresh(docs, name), _SPAN)], run, column)
 
 
 def masked(value: str | None, mask: str = MASK) -> str | None:

@@ -39,8 +39,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, tokens, n_tokens, decoded): token ids of each text, and the text that they decode to."""
-    model = pieces.model_bytes()
-    coded = pieces.decode(pieces.encode(docs.select("doc_id", "text"), model).drop("text"), model)
+    coded = pieces.round_trip(docs.select("doc_id", "text"), pieces.model_bytes()).drop("text")
     return coded.select("doc_id", "tokens", F.size("tokens").cast("long").alias("n_tokens"), "decoded")
 
 

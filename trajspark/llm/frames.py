@@ -20,13 +20,10 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder for tables that cut lineage: ``spark.checkpoint.dir`` of the session.
 
     Only where neither the session nor its context has one (tests on one machine)
-    a folder under the warehouse is set, which executors share with the driver.
+    a folder under the warehouse serves, which executors share with the driver.
     """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        where = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
+    return where or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -141,3 +141,16 @@ def test_clashing_columns_pass_through(spark):
     assert near_duplicates.one_of_each(docs).columns == docs.columns
     assert toxicity.score(docs, (toxicity.np.zeros(0, int), toxicity.np.zeros(0), 0.0)).first()["toxicity"] == 0.5
     assert language.predict(docs, language.Model([], toxicity.np.ones(language.DIMS), toxicity.np.zeros((language.DIMS, 1)), 1.0)).first()["lang_pred"] == "und"
+
+
+def test_one_of_each_row(spark):
+    long = " ".join(f"w{k}" for k in range(60))
+    near = long + " more"
+    rows = [(5, long), (2, near), (9, long), (7, "apart " * 9), (7, "apart " * 9), (None, long), (None, "alone"), (11, None), (12, ""), (12, "")]
+    docs = spark.createDataFrame([(i, t, "c") for i, t in rows], "doc_id long, text string, _id string")
+    for few in (near_duplicates.BROADCAST_IDS, 0):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(near_duplicates, "BROADCAST_IDS", few)
+            got = near_duplicates.one_of_each(docs)
+            assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(2, near), (7, "apart " * 9), (None, long), (None, "alone"), (11, None), (12, "")], key=str)
+            assert got.columns == docs.columns

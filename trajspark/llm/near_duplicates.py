@@ -212,18 +212,20 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, k: int = WORDS, bands
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, all columns, but one document of each class: that with the smallest doc_id.
 
-    Of rows that share a doc_id one stays. Rows without id stay unless an equal text has one.
+    Of rows that share a doc_id one stays. Rows without id stay. Texts are not moved: the ids
+    that go are picked in the scan while there are at most ``BROADCAST_IDS``, beyond it by a shuffle.
     """
-    found = frames.written(classes(docs, **options), "classes")
+    found = frames.written(classes(docs, **options), "classes").where("doc_id is not null")
     rows = found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("class_id").alias("class"))
-    keep = rows.where(F.col("class") == F.col("doc_id"))
-    name = frames.fresh(docs, "_kept")
-    ids = keep.select(F.col("doc_id").alias(name), F.col("rows").alias(name + "_n"))
-    kept = docs.join(ids, docs["doc_id"] == ids[name])
-    single = kept.where(F.col(name + "_n") == 1).drop(name, name + "_n")
-    repeated = kept.where(F.col(name + "_n") > 1).dropDuplicates([name]).drop(name, name + "_n")
-    nameless = docs.where(F.col("doc_id").isNull())
-    return single.unionByName(repeated).unionByName(nameless)
+    name, goes = frames.fresh(docs, "_id"), frames.fresh(docs, "_goes")
+    odd = rows.select(F.col("doc_id").alias(name), (F.col("class") != F.col("doc_id")).alias(goes), "rows").where(F.col(goes) | (F.col("rows") > 1)).drop("rows")
+    odd = frames.written(odd, "odd")
+    few = F.broadcast(odd) if odd.count() <= BROADCAST_IDS else odd
+    marked = docs.join(few, docs["doc_id"] == few[name], "left")
+    out = marked.where(F.col(name).isNull()).drop(name, goes)
+    if odd.where(~F.col(goes)).isEmpty():
+        return out
+    return out.unionByName(marked.where(~F.col(goes)).dropDuplicates([name]).drop(name, goes))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

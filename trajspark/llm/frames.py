@@ -14,6 +14,8 @@ from trajspark.llm.text import chunks
 
 #: Text bytes that an Arrow-batched operator handles and returns at once; one longer text makes a piece of its own.
 PIECE_BYTES = 2 << 20
+#: Arrow batches that go to Python, about, where the session has no limit of its own.
+BATCH_BYTES, BATCH_CONF = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,6 +53,14 @@ def remainder(id_col: str | Column, divisor: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")), F.lit(divisor)).cast("int")
 
 
+def lean(df: DataFrame) -> DataFrame:
+    """``df``; its session's Arrow batches are limited to ``BATCH_BYTES`` if the session has Spark's default limit."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_CONF, "67108864b") == "67108864b":
+        conf.set(BATCH_CONF, str(BATCH_BYTES))
+    return df
+
+
 def appended(docs: DataFrame, fields: list[T.StructField], fn: Callable[[pa.RecordBatch], list[pa.Array]], by: str | None = "text") -> DataFrame:
     """``docs`` with columns that ``fn`` makes from each Arrow batch; all other columns pass through.
 
@@ -65,7 +75,7 @@ def appended(docs: DataFrame, fields: list[T.StructField], fn: Callable[[pa.Reco
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*part.columns, *fn(part)], names=names)
 
-    return docs.mapInArrow(run, schema)
+    return lean(docs).mapInArrow(run, schema)
 
 
 def bounded(rows: DataFrame, key: Column, cap: int) -> DataFrame:

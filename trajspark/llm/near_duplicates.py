@@ -95,7 +95,7 @@ def signatures(docs: DataFrame, k: int = WORDS, bands: int = BANDS, rows: int =
                 yield pa.RecordBatch.from_arrays([ids.slice(a, n), *columns], names=["doc_id", "k1", "k2", "n", *(f"b{j}" for j in range(bands))])
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, k1 long, k2 long, n long, " + ", ".join(f"b{j} long" for j in range(bands))
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return frames.lean(docs.select("doc_id", "text")).mapInArrow(run, schema)
 
 
 def _ordered(a: Column, b: Column) -> list[Column]:
@@ -134,7 +134,8 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     sizes = sets.select("node", "n")
     na, nb = (sizes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}")).distinct() for c in "ab")
     near = pairs.join(na, "a").join(nb, "b").where(F.least("na", "nb") >= threshold * F.greatest("na", "nb")).select("a", "b").distinct()
-    return near.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
+    both = near.join(one, "a").join(two, "b").select("a", "b", "sa", "sb")
+    return frames.lean(both).mapInArrow(run, "a long, b long").distinct()
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
@@ -151,7 +152,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     nodes = frames.written(nodes, "candidates")
     few = F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes
     rows = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(few, "node", "left_semi")
-    return rows.mapInArrow(run, "node long, n long, set binary").where("n > 0")
+    return frames.lean(rows).mapInArrow(run, "node long, n long, set binary").where("n > 0")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -154,3 +154,28 @@ def test_one_of_each_row(spark):
             got = near_duplicates.one_of_each(docs)
             assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(2, near), (7, "apart " * 9), (None, long), (None, "alone"), (11, None), (12, "")], key=str)
             assert got.columns == docs.columns
+
+
+def brute_classes(spark, rows):
+    """Smallest row of the component of each row over all pairs that share a band and are similar, and the classes found."""
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    bands = {x["doc_id"]: [x[f"b{j}"] for j in range(near_duplicates.BANDS)] for x in near_duplicates.signatures(docs).collect()}
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for t in rows)]
+    label = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if label[a] != label[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and any(x == y for x, y in zip(bands[a], bands[b])):
+                label = [min(label[a], label[b]) if x in (label[a], label[b]) else x for x in label]
+    return label, [x["class_id"] for x in sorted(near_duplicates.classes(docs).collect())]
+
+
+def edited(words, places, name):
+    return " ".join(f"{name}{k}" if k in places else w for k, w in enumerate(words))
+
+
+def test_near_variants_without_their_original(spark):
+    r = random.Random(4)
+    words = [f"w{k}" for k in range(400)]
+    rows = [edited(words, set(r.sample(range(400), r.randint(5, 9))), f"v{v}x") for v in range(400)]
+    want, got = brute_classes(spark, rows)
+    assert got == want

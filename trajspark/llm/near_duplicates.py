@@ -11,11 +11,13 @@ Equal shingle sets collapse to one node by a 128-bit hash before anything is pai
 so thousands of copies cost one row each. Nodes that share a band are candidates: in a
 bucket of up to ``ALL_PAIRS`` nodes every pair, in a larger one each node with the
 ``HUBS`` members that share most buckets (of a text and its edited copies the text
-itself), and members that no hub is similar to meet once more in the finer buckets
-of every two bands, which a pair at 0.8 misses with probability 4e-4. So candidates grow with the rows, never with the square of a group. Every
-candidate is verified on whole shingle sets, similarity ``THRESHOLD`` or more; with 20
-bands of 4 a pair at 0.8 is missed with probability 3e-5. Classes are the connected
-components of the links, found by hooking and pointer jumping over written tables.
+itself). Every candidate is verified on whole shingle sets, similarity ``THRESHOLD`` or
+more. Classes are the connected components of the links, found by hooking and pointer
+jumping over written tables. Where a larger bucket still holds several components, all
+its pairs across them are compared, block by block; pairs within one component cannot
+change it. So the classes are those of all pairs that share a band; with 20 bands of 4 a
+pair at 0.8 shares none with probability 3e-5. Blocks bound a task, not the sum: members
+of one bucket that are not near copies of each other cost the square of their number.
 
 Null and wordless texts have no shingles and are classes of their own. Texts of one
 to four words make one shingle of them all. Rows that share a doc_id are one document.
@@ -38,6 +40,8 @@ from trajspark.llm import frames, text
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 4
 ALL_PAIRS, HUBS = 12, 4
+#: Members of a block and their shingles, about, and the shingles that are counted at once.
+BLOCK, BLOCK_SHINGLES, STRIPE = 256, 500_000, 4096
 #: Candidate ids (8 bytes) that may be broadcast to pick their texts in the scan; beyond it texts are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -138,6 +142,31 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return frames.lean(both).mapInArrow(run, "a long, b long").distinct()
 
 
+def overlaps(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of ``xs`` shares with each one of ``ys``."""
+    hx, hy = np.concatenate(xs), np.concatenate(ys)
+    both = np.intersect1d(hx, hy)
+    out = np.zeros((len(xs), len(ys)))
+    if not len(both):
+        return out
+    sides = []
+    for sets, h in ((xs, hx), (ys, hy)):
+        place = np.minimum(np.searchsorted(both, h), len(both) - 1)
+        known = both[place] == h
+        row, place = np.repeat(np.arange(len(sets)), [len(s) for s in sets])[known], place[known]
+        order = np.argsort(place, kind="stable")
+        sides.append((len(sets), row[order], place[order]))
+    for a in range(0, len(both), STRIPE):
+        parts = []
+        for n, row, place in sides:
+            one = np.zeros((n, min(STRIPE, len(both) - a)), np.float32)
+            i, j = np.searchsorted(place, [a, a + STRIPE])
+            one[row[i:j], place[i:j] - a] = 1
+            parts.append(one)
+        out += parts[0] @ parts[1].T
+    return out
+
+
 def sets_of(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """(node, n, set) of the shingle sets of the documents in ``nodes``."""
 
@@ -173,8 +202,60 @@ def components(links: DataFrame) -> DataFrame:
         labels = frames.written(hooked.join(jump, "label", "left").select("node", F.least("label", F.coalesce("up", "label")).alias("label")), "labels")
 
 
-def links(docs: DataFrame, nodes: DataFrame, threshold: float, k: int, bands: int) -> DataFrame:
-    """Verified links (a, b) between ``nodes`` (node, b0...)."""
+def across(members: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float, bands: int) -> DataFrame:
+    """Pairs (a, b) of labels to join: all pairs in large buckets whose labels differ are compared.
+
+    A bucket's most frequent label is its main one. Blocks of the other members meet each
+    other and the blocks of the main label; a pair is compared in its first common band.
+    """
+
+    def run(rows: pa.Table) -> pa.Table:
+        column = lambda name: rows.column(name).to_numpy()
+        label, n, own, p, q = column("label"), column("n"), column("block"), column("p")[0], column("q")[0]
+        held = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, bands)
+        place = int(np.flatnonzero(held[0] == column("v")[0])[0])
+        x, y = np.flatnonzero(own == p), np.flatnonzero(own == q)
+        open_ = (label[x][:, None] != label[y]) & (np.minimum(n[x][:, None], n[y]) >= threshold * np.maximum(n[x][:, None], n[y]))
+        if p == q:
+            open_ = np.triu(open_)
+        for i in range(place):
+            open_ &= held[x, i][:, None] != held[y, i]
+        keep_x, keep_y = open_.any(1), open_.any(0)
+        x, y, open_ = x[keep_x], y[keep_y], open_[keep_x][:, keep_y]
+        if len(x):
+            common = overlaps(*([np.frombuffer(rows.column("set")[int(i)].as_buffer(), np.uint64) for i in side] for side in (x, y)))
+            i, j = np.nonzero(open_ & (common >= threshold * (n[x][:, None] + n[y] - common)))
+            x, y = x[i], y[j]
+        names, code = np.unique(np.concatenate([label[x], label[y]]), return_inverse=True)
+        a, b = code[: len(x)], code[len(x) :]
+        root, was = np.arange(len(names)), None
+        while was is None or (root != was).any():
+            was, low = root.copy(), np.minimum(root[a], root[b])
+            np.minimum.at(root, a, low)
+            np.minimum.at(root, b, low)
+            root = root[root]
+        moved = np.flatnonzero(root != np.arange(len(names)))
+        return pa.table({"a": pa.array(names[root[moved]], pa.int64()), "b": pa.array(names[moved], pa.int64())})
+
+    many = members.where(F.col("size") > ALL_PAIRS).select("node", "v").join(labels, "node", "left").join(sets.groupBy("node").agg(F.sum("n").alias("n")), "node")
+    many = frames.written(many.select("node", "v", "n", F.coalesce("label", "node").alias("label")), "many")
+    by_label = many.groupBy("v", "label").agg(F.count("*").alias("c"), F.sum("n").alias("s")).groupBy("v")
+    mixed = by_label.agg(F.max(F.struct("c", "label", "s")).alias("main"), F.sum("c").alias("c"), F.sum("s").alias("s"), F.count("*").alias("labels")).where("labels > 1")
+    blocks = lambda c, s: F.ceil(F.greatest(c / BLOCK, s / BLOCK_SHINGLES))
+    main = F.col("main")
+    mixed = mixed.select("v", main["label"].alias("main"), blocks(F.col("c") - main["c"], F.col("s") - main["s"]).alias("others"), blocks(main["c"], main["s"]).alias("mains"))
+    is_main, at = F.col("label") == F.col("main"), F.xxhash64("node")
+    dealt = many.join(mixed, "v").withColumn("block", F.when(is_main, F.col("others") + F.pmod(at, F.col("mains"))).otherwise(F.pmod(at, F.col("others"))))
+    meets = F.sequence(F.lit(0).cast("long"), F.when(is_main, F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1)
+    dealt = dealt.select("node", "v", "label", "block", F.explode(meets).alias("meets"))
+    dealt = dealt.select("node", "v", "label", "block", F.least("block", "meets").alias("p"), F.greatest("block", "meets").alias("q"))
+    of = nodes.select("node", F.array(*(F.col(f"b{j}") for j in range(bands))).alias("bands")).join(sets.select("node", "n", "set"), "node")
+    dealt = dealt.join(of, "node").where(F.array_contains("bands", F.col("v")))
+    return frames.lean(dealt).groupBy("v", "p", "q").applyInArrow(run, "a long, b long").distinct()
+
+
+def linked(docs: DataFrame, nodes: DataFrame, threshold: float, k: int, bands: int) -> DataFrame:
+    """(node, label) of the components of verified links between ``nodes`` (node, b0...)."""
     flat = nodes.select("node", F.explode(F.array(*(F.col(f"b{j}") for j in range(bands)))).alias("v"))
     sizes = flat.groupBy("v").agg(F.count("*").alias("size")).where("size > 1")
     members = frames.written(flat.join(sizes, "v").select("node", "v", "size"), "members")
@@ -182,18 +263,13 @@ def links(docs: DataFrame, nodes: DataFrame, threshold: float, k: int, bands: in
     members = frames.written(members.join(score, "node"), "scored")
     sets = frames.written(sets_of(docs, members.select("node").distinct(), k), "sets")
     found = frames.written(verified(frames.written(candidates(members), "pairs"), sets, threshold), "links")
-    # members of large buckets that are similar to no hub meet again in the finer buckets of two bands
-    linked = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node")))
-    rest = members.where(F.col("size") > ALL_PAIRS).select("node").distinct().join(linked.distinct(), "node", "left_anti")
-    two = [F.xxhash64(f"b{i}", f"b{j}", F.lit(i * bands + j)) for i in range(bands) for j in range(i)]
-    fine = frames.written(nodes.join(rest, "node", "left_semi").select("node", F.explode(F.array(*two)).alias("v")), "rest")
-    sizes = fine.groupBy("v").agg(F.count("*").alias("size")).where("size > 1")
-    members = fine.join(sizes, "v").select("node", "v", "size")
-    members = frames.written(members.join(members.groupBy("node").agg(F.sum("size").alias("score")), "node"), "finer")
-    if members.isEmpty():
-        return found
-    more = frames.written(verified(frames.written(candidates(members), "pairs"), sets, threshold), "links")
-    return found.unionByName(more).distinct()
+    labels = components(found)
+    more = frames.written(across(members, labels, nodes, sets, threshold, bands), "joins")
+    if more.isEmpty():
+        return labels
+    joined = frames.written(components(more), "joined")
+    moved = labels.join(joined.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return moved.unionByName(joined.join(labels, "node", "left_anti"))
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, k: int = WORDS, bands: int = BANDS, rows: int = ROWS, weighting: str = "set") -> DataFrame:
@@ -202,8 +278,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, k: int = WORDS, bands
     real = signed.where("n > 0")
     keyed = real.groupBy("k1", "k2").agg(F.min("doc_id").cast("long").alias("node"), *(F.max(f"b{j}").alias(f"b{j}") for j in range(bands)))
     keyed = frames.written(keyed, "nodes")
-    found = links(docs, keyed.where("node is not null"), threshold, k, bands)
-    labels = components(found)
+    labels = linked(docs, keyed.where("node is not null"), threshold, k, bands)
     named = keyed.select("k1", "k2", F.col("node")).join(labels, "node", "left").select("k1", "k2", F.coalesce("label", "node", "k1").alias("class_id"))
     out = real.select("doc_id", "k1", "k2").join(named, ["k1", "k2"]).select("doc_id", "class_id")
     out = out.unionByName(signed.where("n = 0").select("doc_id", F.col("doc_id").cast("long").alias("class_id")))

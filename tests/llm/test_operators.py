@@ -179,3 +179,16 @@ def test_near_variants_without_their_original(spark):
     rows = [edited(words, set(r.sample(range(400), r.randint(5, 9))), f"v{v}x") for v in range(400)]
     want, got = brute_classes(spark, rows)
     assert got == want
+
+
+def test_subgroups_of_a_bucket_join_by_a_pair_without_hub(spark):
+    r = random.Random(6)
+    words, apart = [f"w{k}" for k in range(400)], list(range(20, 400, 48))
+    groups = words, edited(words, set(apart), "b").split()
+    places = sorted(set(range(6, 394)) - {p + d for p in (*apart, 200, 250) for d in range(-5, 6)})
+    rows = [edited(w, {r.choice(places)}, f"s{s}v{k}x") for s, w in enumerate(groups) for k in range(120)]
+    # eight edits between these two, nine or more between all others across
+    rows += [edited(edited(words, {apart[0]}, "b").split(), {200}, "y"), edited(edited(words, set(apart[:-1]), "b").split(), {250}, "z")]
+    want, got = brute_classes(spark, rows)
+    assert set(want) == {0}
+    assert got == want

@@ -106,16 +106,40 @@ register("avg_reward", lambda s, d: dataset(s, d).episodes.agg((F.sum(F.col("tot
 register("byte_budget", lambda s, d: dataset(s, d).byte_budget(), over_episodes("SELECT position, (10 + octet_length(encode(embodiment)) + octet_length(encode(language_instruction)) + CASE WHEN total_reward IS NOT NULL THEN 4 ELSE 0 END)::BIGINT AS meta_bytes, (num_frames * (4 * (state_dim + action_dim) + 5))::BIGINT AS action_bytes, (num_frames * 2)::BIGINT AS image_bytes FROM episodes"))
 
 
+def _vectors(e: DataFrame, f: DataFrame) -> DataFrame:
+    """Frames with the vectors of the line items, and the last one of each episode terminal."""
+    last = e.select("episode_id", (F.col("num_frames") - 1).alias("_last"))
+    elements = [F.col(c).cast("double") for c in ("quantity", "extendedprice", "discount", "tax")]
+    return f.join(last, "episode_id").select("episode_id", "timestep", F.array(*elements).alias("action"), F.array(*elements[:2]).alias("state"), (F.col("timestep") == F.col("_last")).alias("is_terminal"))
+
+
 def _faulty(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    e = adapters.order_episodes(spark, d)
-    return e.withColumn("embodiment", F.when(F.col("position") % 97 == 0, "").otherwise(F.col("embodiment"))).withColumn("num_frames", F.col("num_frames") + (F.col("position") % 89 == 0).cast("long")), adapters.order_frames(spark, d)
+    e, f = adapters.order_episodes(spark, d), adapters.order_frames(spark, d)
+    return e.withColumn("embodiment", F.when(F.col("position") % 97 == 0, "").otherwise(F.col("embodiment"))).withColumn("num_frames", F.col("num_frames") + (F.col("position") % 89 == 0).cast("long")), _vectors(e, f)
+
+
+def _faulty_frames(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    e, f = adapters.order_episodes(spark, d), adapters.order_frames(spark, d)
+    k, first, nan, x = F.col("episode_id"), F.col("timestep") == 0, F.lit(float("nan")), F.col("action")
+    action = F.when(first & (k % 79 == 0), F.slice(x, 1, 3)).when(first & (k % 73 == 0), F.transform(x, lambda v, i: F.when(i == 2, nan).otherwise(v))).otherwise(x)
+    state = F.when((F.col("timestep") == 1) & (k % 71 == 0), F.slice("state", 1, 1)).when(first & (k % 67 == 0), F.array(F.lit(float("-inf")), nan)).otherwise(F.col("state"))
+    return e, _vectors(e, f).select("episode_id", "timestep", action.alias("action"), state.alias("state"), (F.col("is_terminal") & (k % 83 != 0)).alias("is_terminal"))
 
 
 register(
-    "validate_findings", lambda s, d: findings(*_faulty(s, d)),
+    "validate_findings", lambda s, d: findings(*_faulty(s, d)).select("position", "check", "severity"),
     over_episodes("SELECT position, 'id_mismatch' AS \"check\", 'warning' AS severity FROM episodes WHERE episode_id <> position UNION ALL SELECT position, 'empty_embodiment', 'warning' FROM episodes WHERE position % 97 = 0 UNION ALL SELECT position, 'frame_count', 'error' FROM episodes WHERE position % 89 = 0"),
 )
 register("validate_counts", lambda s, d: findings(*_faulty(s, d)).groupBy("severity").agg(F.count("*").alias("n")), over_episodes("SELECT severity, count(*) AS n FROM (SELECT 'warning' AS severity FROM episodes WHERE episode_id <> position UNION ALL SELECT 'warning' FROM episodes WHERE position % 97 = 0 UNION ALL SELECT 'error' FROM episodes WHERE position % 89 = 0) GROUP BY severity"))
+_FAULT = "SELECT position, timestep, '{}' AS \"check\", '{}' AS severity FROM episodes JOIN fr USING (episode_id) WHERE {}"
+register(
+    "validate_terminal", lambda s, d: findings(*_faulty_frames(s, d)).where("check <> 'id_mismatch'").select("position", "timestep", "check", "severity"),
+    over_episodes(" UNION ALL ".join([
+        "SELECT position, NULL::BIGINT AS timestep, 'last_not_terminal' AS \"check\", 'warning' AS severity FROM episodes WHERE episode_id % 83 = 0",
+        _FAULT.format("action_length", "error", "timestep = 0 AND episode_id % 79 = 0"), _FAULT.format("nonfinite_action", "warning", "timestep = 0 AND episode_id % 73 = 0 AND episode_id % 79 <> 0"),
+        _FAULT.format("state_length", "error", "timestep = 1 AND episode_id % 71 = 0"), *2 * [_FAULT.format("nonfinite_state", "warning", "timestep = 0 AND episode_id % 67 = 0")],
+    ])),
+)
 register("validate_nonfinite", lambda s, d: adapters.table(s, d, "embeddings").select("vec_id", scalars.non_finite(F.transform("embedding", lambda x, i: F.when((F.col("vec_id") % 7 == 0) & (i == 3), F.lit(float("nan")).cast("float")).otherwise(x))).alias("bad")), "SELECT vec_id, vec_id % 7 = 0 AS bad FROM embeddings")
 
 # Grouping in order -------------------------------------------------------------------

@@ -9,9 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import unicodedata
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex as re
 
 U = np.uint64
 #: Odd, hence invertible modulo 2**64: the base of the prefix hash.
@@ -20,8 +23,11 @@ _INV = pow(_BASE, -1, 1 << 64)
 #: Bytes handled at once; one longer text makes a chunk of its own.
 CHUNK_BYTES = 1 << 20
 
-_WORD = np.zeros(256, bool)
-_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+_WORD = np.zeros(256, np.uint8)
+_WORD[[*range(48, 58), *range(65, 91), *range(97, 123)]] = 1
+#: Scripts that are written without spaces: each of their characters is a word.
+_UNSPACED = re.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]")
+_kinds = None
 _pow = np.ones(1, U), np.ones(1, U)
 
 
@@ -41,6 +47,29 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _pow[0][:n], _pow[1][:n]
 
 
+def _word_kinds() -> np.ndarray:
+    """Per code point: 0 outside words, 1 a letter or digit, 2 a word by itself."""
+    global _kinds
+    if _kinds is None:
+        kinds = np.fromiter((unicodedata.category(chr(c))[0] in "LN" for c in range(0x110000)), np.uint8, 0x110000)
+        whole = "".join(chr(c) for c in np.flatnonzero(kinds))
+        kinds[[ord(c) for c in _UNSPACED.findall(whole)]] = 2
+        _kinds = kinds
+    return _kinds
+
+
+def _byte_kinds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    """The word kind of the character that each byte belongs to, and which bytes begin one (None: all)."""
+    if not len(raw) or raw.max() < 128:
+        return _WORD[raw], None
+    begins = (raw & 0xC0) != 0x80
+    try:
+        points = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+    except UnicodeDecodeError:  # not UTF-8: bytes beyond ASCII count as letters
+        return np.where(raw < 128, _WORD[raw], 1).astype(np.uint8), None
+    return np.repeat(_word_kinds()[points], np.diff(np.append(np.flatnonzero(begins), len(raw)))), begins
+
+
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts and their offsets (one more than there are texts)."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -63,7 +92,7 @@ def chunks(texts: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int]
 
 
 class Words:
-    """The words (runs of letters, digits and non-ASCII bytes) of a range of texts.
+    """The words of a range of texts: runs of letters and digits, and each character of an unspaced script.
 
     hash: 64 bits per word; at: first word of each text, and the end; doc: text of
     each word; start, end: byte range of each word in ``raw``.
@@ -71,10 +100,15 @@ class Words:
 
     def __init__(self, raw: np.ndarray, at: np.ndarray):
         n = len(raw)
+        kind, begins = _byte_kinds(raw)
         inside = np.zeros(n + 2, bool)
-        inside[1:-1] = _WORD[raw]
+        inside[1:-1] = kind > 0
         first = np.zeros(n + 1, bool)
         first[at] = True
+        if begins is not None:  # an unspaced character begins a word, and so does what follows it
+            alone = begins & (kind == 2)
+            first[:-1] |= alone
+            first[1:-1] |= begins[1:] & (kind[:-1] == 2)
         starts = np.flatnonzero(inside[1:-1] & (~inside[:-2] | first[:-1]))
         ends = np.flatnonzero(inside[1:-1] & (~inside[2:] | first[1:])) + 1
         power, back = _powers(n + 1)

@@ -7,9 +7,12 @@ partition's largest item may miss, and one. By the pigeonhole principle a docume
 that contains an item has one of these at least, so the search loses nothing, however
 long the document. Hits are verified by exact containment of the shingles as text.
 
-Documents' shingles are probed in the scan and never shuffled while the sketches are
-within ``BROADCAST_ROWS``, which is checked; beyond it Spark joins them by hash.
-Verification reads again the documents that were hit, and no others are shuffled.
+The size partitions decide how many minima an item keeps; documents keep all their
+shingles, as a document's own minima say nothing of a short item inside it. So recall is
+exact rather than estimated. Documents' shingles are probed in the scan and never shuffled
+while the sketches are within ``BROADCAST_ROWS``, which is checked; beyond it Spark joins
+them by hash. Verification reads again the documents that were hit, and no others are
+shuffled; items are broadcast within a checked size, beyond it joined with salt.
 
 Null and wordless texts have no shingles: such items are in no document, such
 documents contain none. Texts of one to four words make a single shingle of all their
@@ -29,6 +32,8 @@ from trajspark.llm import frames, native
 WORDS, THRESHOLD = 5, 0.8
 #: Sketch rows (hash and item number, 16 bytes) that may be broadcast.
 BROADCAST_ROWS = 2_000_000
+#: Shingles of all items, as text (about 50 bytes each), that may be broadcast; beyond it they are dealt over this many salts.
+BROADCAST_SHINGLES, SALTS = 500_000, 16
 
 
 def missable(n, threshold: float):
@@ -57,9 +62,16 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, k
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("tk"))
     probes = keyed.select("doc_id", "tk", native.words(F.col("text")).alias("w")).select("doc_id", "tk", F.explode(_hashes(F.col("w"), k)).alias("h"))
     hits = frames.written(probes.join(mark(sketch), "h").select("doc_id", "tk", "item").distinct(), "hits")
-    texts = keyed.join(hits.withColumnRenamed("doc_id", "id"), (F.col("doc_id").eqNullSafe(F.col("id"))) & (keyed["tk"] == hits["tk"])).select("doc_id", "item", native.words(F.col("text")).alias("w"))
-    # sketches bound the items' number; their texts are joined as Spark sees fit
-    both = texts.select("doc_id", "item", _shingles(F.col("w"), k).alias("has")).join(item.select("item", "item_id", "want"), "item")
+    # a document is moved once, with the list of the items it may contain; the items of one document are bounded by those of the benchmark
+    found = hits.groupBy(F.col("doc_id").alias("id"), F.col("tk").alias("key")).agg(F.collect_list("item").alias("of"))
+    texts = keyed.join(found, (F.col("doc_id").eqNullSafe(F.col("id"))) & (F.col("tk") == F.col("key"))).select("doc_id", "of", native.words(F.col("text")).alias("w"))
+    has = texts.select("doc_id", F.explode("of").alias("item"), _shingles(F.col("w"), k).alias("has"))
+    wanted = item.select("item", "item_id", "want")
+    if (wanted.agg(F.sum(F.size("want"))).head()[0] or 0) <= BROADCAST_SHINGLES:
+        both = has.join(F.broadcast(wanted), "item")
+    else:  # very many documents may quote one item
+        copies = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        both = has.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).join(copies, ["item", "salt"])
     share = both.select("doc_id", "item_id", (F.size(F.array_intersect("want", "has")) / F.size("want")).alias("containment"))
     return share.where(F.col("containment") >= threshold - 1e-12).groupBy("doc_id", "item_id").agg(F.max("containment").alias("containment"))
 

@@ -1,45 +1,53 @@
 """Document fingerprints: Order MinHash over occurrence-numbered word k-mers.
 
 Every k-mer of words is numbered by its occurrence in the text and hashed; the hash
-space is cut into ``SKETCHES`` bins, and in each the ``TAKE`` smallest elements are
-selected, put back into text order, and hashed as a tuple. So a sketch agrees where
-the same k-mers stand in the same order, which follows edit distance rather than the
-mere set. The likeness of two texts is the TAKE-th root of the share of agreeing
-sketches among those that either has: it estimates the share of common elements.
+space is cut into ``SKETCHES`` bins, and for each the ``TAKE`` smallest elements from its
+beginning on are selected (where the bin has fewer, the next bins lend theirs, round the
+end), put back into text order, and hashed as a tuple. So a sketch agrees where the same
+k-mers stand in the same order, which follows edit distance rather than the mere set. The
+likeness of two texts is the TAKE-th root of the share of agreeing sketches: it
+estimates the share of common elements in common order.
 
 All of it is array expressions in the scan: one sort by hash groups occurrences, a
 second selects, both linear in memory. Nothing is exploded. The next document in
 descending id order is found without a global sort: rows are dealt into ranges of id
-(quantiles, at most ``MAX_RANGES``), and each range gets a copy of the next one's
-first row. Only that exchange moves texts, once.
+(``ranges``), as many as the bytes of the texts need, and each range gets a copy of the
+next one's first row. Only that exchange moves texts, once.
 
 Null texts count as empty. Wordless texts have an empty fingerprint; two such are
-alike (1), against others 0. Texts of fewer than k words make one k-mer. Rows of one
-id follow each other by the hash of their text; null ids come last. A table of one
-row is its own next. Positions past 2**24 words share one place. Other columns are ignored.
+alike (1), against others 0. Texts of fewer than k words make one k-mer. Ids are integers,
+or else taken and ordered as strings. Rows of one id follow each other by the hash of
+their text; null ids come last; a range of many rows of one id, or of none, is divided by
+that hash. A table of one row is its own next. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from trajspark.llm import frames, native
+from trajspark.llm import frames, native, ranges
 
-K, TAKE, SKETCHES, MAX_RANGES = 2, 2, 64, 1024
-_PLACE = (1 << 24) - 1
+K, TAKE, SKETCHES = 2, 2, 64
+#: Text bytes of a range, about.
+RANGE_BYTES = 64 << 20
+#: An element is 33 bits of hash over 31 of its place in the text, which no text exceeds.
+_PLACE_BITS = 31
+_PLACE = (1 << _PLACE_BITS) - 1
 _BITS = SKETCHES.bit_length() - 1
 
 
 def _bin(x: Column) -> Column:
-    return F.shiftrightunsigned(x, 64 - _BITS)
+    """Bins in the order of signed numbers, which sorts keep."""
+    return F.shiftright(x, 64 - _BITS) + SKETCHES // 2
 
 
 def with_sketches(df: DataFrame, text: str, out: str) -> DataFrame:
     """``df`` with the array ``out`` of the sketches of ``text``: tuple hashes whose low bits are the bin."""
-    made = [frames.fresh(df, f"_{s}") for s in ("w", "s", "first", "e", "k")]
-    w, s, first, e, k = (F.col(c) for c in made)
+    made = [frames.fresh(df, f"_{s}") for s in ("w", "s", "first", "e", "k", "b", "d")]
+    w, s, first, e, k, b, d = (F.col(c) for c in made)
     keep = df.columns
 
     def step(d: DataFrame, name: str, c: Column, drop: str | None = None) -> DataFrame:
@@ -50,17 +58,27 @@ def with_sketches(df: DataFrame, text: str, out: str) -> DataFrame:
     packed = F.transform(kmers, lambda h, i: h.bitwiseAND(F.lit(~_PLACE)).bitwiseOR(F.least(i, F.lit(_PLACE)).cast("long")))
     df = step(df, made[1], F.sort_array(packed), made[0])
     n = F.size(s)
-    new = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.shiftright(F.get(s, i), 24) != F.shiftright(F.get(s, i - 1), 24)))
+    hash_at = lambda i: F.shiftright(F.get(s, i), _PLACE_BITS)
+    new = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (hash_at(i) != hash_at(i - 1)))
     df = step(df, made[2], F.when(n > 0, new).otherwise(F.array().cast("array<int>")))
-    number = lambda at, o: F.xxhash64(F.shiftright(F.get(s, at), 24), o).bitwiseAND(F.lit(~_PLACE)).bitwiseOR(F.get(s, at + o).bitwiseAND(F.lit(_PLACE)))
+    number = lambda at, o: F.xxhash64(hash_at(at), o).bitwiseAND(F.lit(~_PLACE)).bitwiseOR(F.get(s, at + o).bitwiseAND(F.lit(_PLACE)))
     runs = F.transform(first, lambda at, j: F.transform(F.sequence(F.lit(0), F.coalesce(F.get(first, j + 1), n) - at - 1), lambda o: number(at, o)))
     df = step(df, made[3], F.sort_array(F.flatten(runs))).drop(made[1], made[2])
     df = step(df, made[4], F.filter(e, lambda x, i: (i < TAKE) | (_bin(F.get(e, i - TAKE)) != _bin(x))), made[3])
+    m = F.size(k)
     starts = F.filter(F.transform(k, lambda x, i: F.when((i == 0) | (_bin(F.get(k, i - 1)) != _bin(x)), i)), lambda i: i.isNotNull())
-    same = lambda i: F.filter(F.slice(k, i + 1, TAKE), lambda x: _bin(x) == _bin(F.get(k, i)))
-    ordered = lambda i: F.sort_array(F.transform(same(i), lambda x: F.shiftleft(x.bitwiseAND(F.lit(_PLACE)), 40).bitwiseOR(F.shiftrightunsigned(x, 24))))
-    digest = lambda i: F.xxhash64(F.transform(ordered(i), lambda x: x.bitwiseAND(F.lit((1 << 40) - 1)))).bitwiseAND(F.lit(-SKETCHES)).bitwiseOR(_bin(F.get(k, i)))
-    return df.withColumn(out, F.transform(starts, digest)).select(*(F.col(f"`{c}`") for c in keep), out)
+    df = step(df, made[5], starts)
+    taken = lambda i: F.array(*(F.get(k, (i + j) % m) for j in range(TAKE)))
+    ordered = lambda i: F.sort_array(F.transform(taken(i), lambda x: F.shiftleft(x.bitwiseAND(F.lit(_PLACE)), 64 - _PLACE_BITS).bitwiseOR(F.shiftrightunsigned(x, _PLACE_BITS))))
+    digest = lambda i: F.xxhash64(F.transform(ordered(i), lambda x: x.bitwiseAND(F.lit((1 << 64 - _PLACE_BITS) - 1)))).bitwiseAND(F.lit(-SKETCHES))
+    df = step(df, made[6], F.transform(b, digest))
+    # a bin without elements has the tuple of the next one that has some
+    bin_at = lambda j: _bin(F.get(k, F.get(b, j))).cast("int")
+    upto = lambda j, low, high: F.transform(F.sequence(low, high), lambda v: F.get(d, j).bitwiseOR(v.cast("long")))
+    most = F.flatten(F.transform(b, lambda i, j: upto(j, F.when(j == 0, 0).otherwise(bin_at(j - 1) + 1), bin_at(j))))
+    last = bin_at(F.size(b) - 1)
+    rest = F.when(last < SKETCHES - 1, upto(F.lit(0), last + 1, F.lit(SKETCHES - 1))).otherwise(F.array().cast("array<bigint>"))
+    return df.withColumn(out, F.when(m > 0, F.concat(most, rest)).otherwise(F.array().cast("array<bigint>"))).select(*(F.col(f"`{c}`") for c in keep), out)
 
 
 def fingerprint(sketches: Column) -> Column:
@@ -68,25 +86,23 @@ def fingerprint(sketches: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    bins = lambda c: F.transform(c, lambda x: x.bitwiseAND(F.lit(SKETCHES - 1)))
-    either = F.size(F.array_union(bins(a), bins(b)))
-    return F.when(either == 0, F.lit(1.0)).otherwise(F.pow(F.size(F.array_intersect(a, b)) / either, F.lit(1.0 / TAKE)))
+    none = (F.size(a) == 0) | (F.size(b) == 0)
+    return F.when(none, (F.size(a) == F.size(b)).cast("double")).otherwise(F.pow(F.size(F.array_intersect(a, b)) / F.lit(float(SKETCHES)), F.lit(1.0 / TAKE)))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """(doc_id, text, sketches, next_text, next_sketches): the next document by descending id, after the last the first."""
     spark = docs.sparkSession
-    n = max(1, min(MAX_RANGES, 4 * frames.parts(spark)))
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    cuts = base.select("doc_id").agg(F.percentile_approx("doc_id", [(i + 1) / n for i in range(n)], 10 * n).alias("q")).head()["q"] or []
-    limits = F.array(*(F.lit(c).cast("long") for c in sorted(set(cuts)))) if cuts else F.array().cast("array<bigint>")
-    # nulls are the lowest range
-    base = base.withColumn("range", F.when(F.col("doc_id").isNull(), -1).otherwise(F.size(F.filter(limits, lambda c: c < F.col("doc_id"))))).withColumn("tk", F.xxhash64("text"))
+    kind = docs.schema["doc_id"].dataType
+    base = docs.select(F.col("doc_id").cast("long" if isinstance(kind, T.IntegralType) else "string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    size = base.agg(F.count("*").alias("n"), F.sum(F.octet_length("text").cast("long")).alias("bytes")).head()
+    n = max(4 * frames.parts(spark), -(-(size["bytes"] or 0) // RANGE_BYTES))
+    base = ranges.even(base, "doc_id", n, size["n"]).numbered(base.withColumn("tk", F.xxhash64("text")), "doc_id", "tk", "range")
     heads = base.groupBy("range").agg(F.max(F.struct("doc_id", "tk")).alias("h")).select("range", F.col("h.doc_id").alias("hid"), F.col("h.tk").alias("htk")).collect()
     order = sorted((r["range"] for r in heads), reverse=True)
     before = {r: order[i - 1] for i, r in enumerate(order)}  # the range whose last row goes on with this one's head
     rows = [(r["range"], r["hid"], r["htk"], before[r["range"]]) for r in heads]
-    chosen = spark.createDataFrame(rows, "hrange int, hid long, htk long, goes int")
+    chosen = spark.createDataFrame(rows, f"hrange long, hid {base.schema['doc_id'].dataType.simpleString()}, htk long, goes long")
     guests = (
         base.join(F.broadcast(chosen), (F.col("range") == F.col("hrange")) & (F.col("tk") == F.col("htk")) & F.col("doc_id").eqNullSafe(F.col("hid")))
         .groupBy("goes", "doc_id", "tk").agg(F.first("text").alias("text"))

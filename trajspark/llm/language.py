@@ -3,7 +3,7 @@
 Hashed 1- to 3-grams of lower-cased code points, sublinear TF, IDF over all training
 rows, unit length; follow-the-regularised-leader with an elastic-net penalty, then a
 temperature fitted on a part of the sample that the weights were not trained on.
-The model is ``DIMS`` x languages numbers, whatever the corpus.
+The model is ``DIMS`` x languages numbers, at most ``LANGUAGES`` of them, whatever the corpus.
 
 A text that is null or has no letter is ``und`` with score 0. Rows with a null
 language are not learnt from; without any training row all texts are ``und``.
@@ -21,7 +21,10 @@ from pyspark.sql import types as T
 
 from trajspark.llm import frames, text
 
-DIMS = 1 << 15
+BITS = 15
+DIMS = 1 << BITS
+#: Languages that are learnt, at most: the most frequent ones, the first by name where equally frequent.
+LANGUAGES = 256
 #: Labelled rows that the weights are fitted on, at most (about); the IDF counts all rows.
 SAMPLE = 8_000
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.02, 0.01, 2
@@ -32,16 +35,25 @@ def counts(texts: pa.Array):
     lowered = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
     for a, b in text.chunks(lowered):
         rows = lowered.slice(a, b - a).to_pylist()
-        at = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+        size = np.array([len(r) for r in rows], np.int64)
         c = text.code_points("".join(rows)).astype(np.uint32)
-        one = (c + np.uint32(1)) * np.uint32(0x9E3779B1)
-        two = (one[:-1] ^ (one[:-1] >> np.uint32(15))) * np.uint32(0x85EBCA77) + c[1:] * np.uint32(0xC2B2AE3D) if len(c) > 1 else one[:0]
-        three = (two[:-1] ^ (two[:-1] >> np.uint32(15))) * np.uint32(0x85EBCA77) + c[2:] * np.uint32(0xC2B2AE3D) if len(c) > 2 else one[:0]
-        grams = [(h >> np.uint32(17)).astype(np.int64) for h in (one, two, three)]
+        # one key for text and n-gram: a sort brings equal ones together, however short the texts
+        doc = np.repeat(np.arange(len(rows), dtype=np.uint32) << np.uint32(BITS), size) if len(rows) < 1 << (32 - BITS) else np.repeat(np.arange(len(rows), dtype=np.uint64) << np.uint64(BITS), size)
+        gram = (c + np.uint32(1)) * np.uint32(0x9E3779B1)
+        keys = [doc + (gram >> np.uint32(32 - BITS))]
+        for k in (1, 2):
+            if len(c) > k:
+                gram = (gram[:-1] ^ (gram[:-1] >> np.uint32(15))) * np.uint32(0x85EBCA77) + c[k:] * np.uint32(0xC2B2AE3D)
+                within = doc[:-k] == doc[k:]
+                keys.append((doc[:-k] + (gram >> np.uint32(32 - BITS)))[within])
+        key = np.sort(np.concatenate(keys))
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        n = np.diff(np.append(first, len(key)))
+        key = key[first]
+        index = (key & key.dtype.type(DIMS - 1)).astype(np.int64)
+        at = np.searchsorted(key >> key.dtype.type(BITS), np.arange(len(rows) + 1).astype(key.dtype))
         for x, y in zip(at[:-1], at[1:]):
-            n = sum(np.bincount(g[x : max(x, y - k)], minlength=DIMS) for k, g in enumerate(grams))
-            index = np.flatnonzero(n)
-            yield index, n[index]
+            yield index[x:y], n[x:y]
 
 
 def vector(index: np.ndarray, n: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -122,12 +134,13 @@ class Model:
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from ``docs`` (text, lang, and doc_id to sample by)."""
     known = docs.where("lang is not null and text is not null")
-    classes = sorted(r[0] for r in known.select("lang").distinct().collect())
+    classes = sorted(r[0] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect())
     df, rows = document_frequency(known)
     idf = np.log((1 + rows) / (1 + df)) + 1
     w, temperature = np.zeros((DIMS, max(1, len(classes)))), 1.0
     if classes:
-        chosen = frames.bounded(known.select("doc_id", "text", "lang"), F.col("doc_id"), sample).select("text", "lang")
+        learnable = known.where(F.col("lang").isin(classes))
+        chosen = frames.bounded(learnable.select("doc_id", "text", "lang"), F.col("doc_id"), sample).select("text", "lang")
         for r in frames.trained(chosen, "index long, weights array<double>", lambda t: fit_rows(t, idf, classes)):
             if r["index"] < 0:
                 temperature = r["weights"][0]

@@ -50,6 +50,7 @@ KINDS = [*BASE, *MORE]
 MASK = "[SECRET]"
 
 _exact = {k: re.compile(v) for k, v in (BASE | MORE).items()}
+_run = re.compile(rb"[A-Za-z0-9_-]+")
 _hex = np.zeros(256, bool)
 _hex[[*range(48, 58), *range(97, 103)]] = True
 _automaton = None
@@ -100,10 +101,15 @@ def byte_spans(raw: bytes) -> list[tuple[str, int, int]]:
     hits = sorted((end - size + 1, kind) for end, (kind, size) in _keywords().iter(raw.lower().decode("latin-1")))
     found, last = [], dict.fromkeys(KINDS, 0)
     for start, kind in hits:
-        if start >= last[kind] and (m := _exact[kind].match(raw, start)):
+        if start < last[kind]:
+            continue
+        if m := _exact[kind].match(raw, start):
             last[kind] = m.end()
             if _accepted(kind, m):
                 found.append((kind, start, m.end()))
+        elif kind == "jwt" and (m := _run.match(raw, start)):
+            # a later start in the same run would fail at the same place
+            last[kind] = m.end()
     sampled = _hex[np.frombuffer(raw, np.uint8)[15::16]]
     for k in np.flatnonzero(sampled[:-1] & sampled[1:]):
         at = 16 * int(k) + 15

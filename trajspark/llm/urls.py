@@ -1,31 +1,38 @@
-"""URL filters: a sort-merge range join on reversed-host keys.
-
-A host is keyed by its labels in reverse, each followed by a dot ("com.example.www.").
-A rule on ``example.com`` then covers the interval of all keys that begin with
-"com.example.", so the intervals of rules nest. Sorting the interval bounds among the
-keys of the urls and sweeping once, each url sees the stack of rules open at its key:
-every bound carries the stack that holds from there on. Of the stack the longest rule
-whose path begins the url's path decides; at equal length the one on the longer host.
-
-The urls are dealt evenly over partitions by a hash of the row, so a host that a third
-of all urls share is spread; each partition sweeps its own urls against all bounds.
-Rules are a stated list, at most ``MAX_RULES``, so this copies at most that many a
-partition. Only id and url are read and shuffled.
+"""URL filters: a sort-merge range join on canonical keys with the host reversed.
+
+A host and path are keyed by the host's labels in reverse, each followed by a dot, then
+a slash and the path ("com.example./" and "/en/"). The urls that a rule covers on its own
+host form the interval of all keys that begin with the rule's key, so the intervals of
+rules nest. A rule covers subdomains too: a url enters the join once for each suffix of
+its host. One sorted sweep over the rules keeps the stack of open ones and leaves, at
+every start and end of an interval, the innermost rule from there on; a second sweep
+merges these bounds with the sorted keys of the urls. Of a url's rules the longest
+decides, at equal length the one on the longer host.
+
+Keys and bounds are dealt into even ranges (``ranges``), each of which also gets the rule
+that is open where it begins; a key that very many urls share is divided further. So a
+task holds a range of urls and the bounds within it, and neither the number of rules on
+one host nor that of all rules is limited but by the driver, which is given their list.
+Only id and url are read and shuffled.
 
 A null url, or one without ``://``, has an empty host and path, hence no rule and the
-default verdict. Repeated rows are judged each. An empty rule list leaves the default.
+default verdict. Repeated rows are judged each; of rules that are equal but for their
+verdict, the greater verdict ("block") stands. An empty rule list leaves the default.
+Columns beside id and url are ignored.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from trajspark.llm import frames
+from trajspark.llm import frames, ranges
 
-MAX_RULES = 100_000
+#: Keys of a range, about, and rules that may be broadcast by name.
+RANGE_KEYS, BROADCAST_RULES = 2_000_000, 100_000
 DEFAULT = "allow"
 # The rules of the query, as (verdict, host, path).
 RULES = [
@@ -35,7 +42,6 @@ RULES = [
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 ]
-_STACK = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("host", "path", "verdict")]))
 #: A-Z alone are lower-cased, as hosts compare.
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -49,59 +55,71 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return host, path
 
 
-def reversed_key(host: str) -> str:
-    return "".join(f"{label}." for label in reversed(host.split(".")))
+def rule_key(host: str, path: str) -> bytes:
+    return ("".join(f"{label}." for label in reversed(host.split("."))) + "/" + path).encode("utf-8", "surrogatepass")
+
 
+def bounds(keys: list[tuple[bytes, int]]) -> list[tuple[bytes, int]]:
+    """(key, the innermost open rule from this key on, or -1) at every start and end of the intervals of ``keys`` (key, rule)."""
+    out: dict[bytes, int] = {}
+    stack: list[tuple[bytes, int]] = []
 
-def bounds(rules: list[tuple[str, str, str]]) -> list[tuple[str, list[tuple[str, str, str]]]]:
-    """(key, stack from this key on) at every start and end of a rule's interval, by key.
+    def close() -> None:
+        key, _ = stack.pop()
+        out[key[:-1] + bytes([key[-1] + 1])] = stack[-1][1] if stack else -1
 
-    The sweep: at the start of a host's interval its rules go on the stack, at the end they come off.
-    """
-    hosts: dict[str, list] = {}
-    for verdict, host, path in rules:
-        hosts.setdefault(reversed_key(host), []).append((host, path, verdict))
-    events = sorted([(k[:-1] + "/", 0, k) for k in hosts] + [(k, 1, k) for k in hosts], key=lambda e: (e[0].encode(), e[1], len(e[2]) if e[1] else -len(e[2])))
-    out: dict[str, list] = {}
-    stack: list[str] = []
-    for key, opens, host in events:
-        if opens:
-            stack.append(host)
-        else:
-            stack.remove(host)
-        out[key] = [r for h in stack for r in hosts[h]]
-    return list(out.items())
+    for key, rule in sorted(keys):
+        while stack and not key.startswith(stack[-1][0]):
+            close()
+        stack.append((key, rule))
+        out[key] = rule
+    while stack:
+        close()
+    return sorted(out.items())
+
+
+def _dealt(edges: list[tuple[bytes, int]], cut: ranges.Ranges) -> list[tuple[int, bytes, int]]:
+    """(range, key, rule): each bound in its range, and in every range the rule that is open where it begins."""
+    keys, out = [k for k, _ in edges], []
+    before = lambda k: edges[i - 1][1] if (i := bisect_right(keys, k)) else -1
+    for p in range(len(cut.cuts) + 1):
+        out.append((cut.between(p), b"", before(cut.cuts[p - 1]) if p else -1))
+        if p < len(cut.cuts):
+            out += [(r, b"", before(cut.cuts[p])) for r in cut.on(p)]
+    return out + [(cut.between(bisect_left(cut.cuts, k)), k, rule) for k, rule in edges]
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], default: str = DEFAULT, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """(id, host, path, rule, verdict) of every row of ``pages``."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"at most {MAX_RULES} rules")
+    """(id, host, path, rule, verdict) of every row of ``pages``; ``rules`` are (verdict, host, path)."""
     spark = pages.sparkSession
-    salts = 4 * frames.parts(spark)
     url = F.col(f"`{url_col}`")
     host, path = host_and_path(url)
+    parsed = pages.select(F.col(f"`{id_col}`").alias("id"), host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias("row"))
+    # a rule's number is its place among all by length, so the greatest number decides
+    ranked = sorted(set(rules), key=lambda r: (len(r[1]) + len(r[2]), len(r[1]), r[1] + r[2], r[0]))
+    numbers = {rule_key(h, p): k for k, (_, h, p) in enumerate(ranked)}
+    names = spark.createDataFrame([(k, h + p, v) for k, (v, h, p) in enumerate(ranked)] or [(-1, "", "")], "best int, rule string, verdict string")
+
     labels = F.split("host", r"\.")
-    keyed = (
-        pages.select(F.col(f"`{id_col}`").alias(id_col), host.alias("host"), path.alias("path"), F.pmod(F.xxhash64(F.col(f"`{id_col}`"), url), F.lit(salts)).alias("salt"))
-        .withColumn("key", F.concat(F.array_join(F.reverse(labels), "."), F.lit(".")))
-        .select(id_col, "host", "path", "salt", "key", F.lit(1).alias("kind"), F.lit(None).cast(_STACK).alias("stack"))
-    )
-    edges = spark.createDataFrame(bounds(rules) or [("", [])], T.StructType([T.StructField("key", T.StringType()), T.StructField("stack", _STACK)]))
-    copies = edges.select(
-        F.lit(None).cast(pages.schema[id_col].dataType).alias(id_col), F.lit(None).cast("string").alias("host"), F.lit(None).cast("string").alias("path"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"), "key", F.lit(0).alias("kind"), "stack",
-    )
-    sweep = Window.partitionBy("salt").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    open_ = F.last("stack", ignorenulls=True).over(sweep)
-    fits = F.filter("open", lambda r: F.startswith(F.col("path"), r["path"]))
-    # of equally long rules the longer host comes last in the sort and wins
-    best = F.element_at(F.array_sort(F.transform(fits, lambda r: F.struct((F.length(r["host"]) + F.length(r["path"])).alias("n"), F.length(r["host"]).alias("h"), F.concat(r["host"], r["path"]).alias("rule"), r["verdict"].alias("verdict")))), -1)
-    return (
-        keyed.unionByName(copies).withColumn("open", open_).where("kind = 1")
-        .withColumn("best", F.when(F.size(fits) > 0, best))
-        .select(id_col, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
-    )
+    suffix = lambda i: F.array_join(F.reverse(F.slice(labels, i, F.size(labels))), ".")
+    keys = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat(suffix(i), F.lit("./"), F.col("path")).cast("binary"))
+    keyed = parsed.select("id", "host", "path", "row", F.explode(keys).alias("key")).withColumn("by", F.xxhash64("row"))
+    total = keyed.count()
+    cut = ranges.even(keyed, "key", max(4 * frames.parts(spark), -(-total // RANGE_KEYS)), total)
+    urls = cut.numbered(keyed, "key", "by", "range").drop("by").withColumn("open", F.lit(None).cast("int"))
+    edges = spark.createDataFrame(_dealt(bounds(list(numbers.items())), cut), "range long, key binary, open int")
+    both = urls.withColumn("is_url", F.lit(True)).unionByName(edges.withColumn("is_url", F.lit(False)), allowMissingColumns=True)
+    sweep = Window.partitionBy("range").orderBy("key", "is_url").rowsBetween(Window.unboundedPreceding, 0)
+    swept = both.withColumn("open", F.last("open", ignorenulls=True).over(sweep)).where("is_url")
+    best = swept.groupBy("row", "id", "host", "path").agg(F.max("open").alias("best"))
+    if len(ranked) <= BROADCAST_RULES:
+        named = best.join(F.broadcast(names), "best", "left")
+    else:  # a rule may decide a third of all urls
+        salts = 4 * frames.parts(spark)
+        spread = names.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+        named = best.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts))).join(spread, ["best", "salt"], "left")
+    found = F.col("best") >= 0
+    return named.select(F.col("id").alias(id_col), "host", "path", F.when(found, F.col("rule")).alias("rule"), F.when(found, F.col("verdict")).otherwise(default).alias("verdict"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

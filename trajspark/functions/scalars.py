@@ -27,3 +27,25 @@ def resize_map(old: Column, new: int) -> Column:
 
 def non_finite(vector: Column) -> Column:
     return F.exists(vector, lambda x: F.isnan(x) | (F.abs(x) == float("inf")))
+
+
+def cut(text: Column, longest: int) -> Column:
+    """A text for display: at most ``longest`` characters, the last three dots where it is longer."""
+    return F.when(F.length(text) > longest, F.concat(F.substring(text, 1, longest - 3), F.lit("..."))).otherwise(text)
+
+
+def path_tail(path: Column, longest: int = 30) -> Column:
+    """The end of a path for display, behind three dots where it is longer."""
+    return F.when(F.length(path) > longest, F.concat(F.lit("..."), F.right(path, F.lit(longest - 3)))).otherwise(path)
+
+
+def set_summary(values: Column) -> Column:
+    """A sorted array of texts for display: up to four of them, else three and how many there are."""
+    some = F.concat(F.array_join(F.slice(values, 1, 3), ", "), F.lit("... ("), F.size(values), F.lit(" total)"))
+    return F.when(F.size(values) <= 4, F.array_join(values, ", ")).otherwise(some)
+
+
+def left_fold(values: Column) -> Column:
+    """The sum of an array of floats in its order, rounded to a float at each step; nulls count as 0."""
+    zero = F.lit(0.0).cast("float")
+    return F.aggregate(values, zero, lambda acc, x: (acc + F.coalesce(x, zero)).cast("float"))

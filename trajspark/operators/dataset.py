@@ -1,144 +1,213 @@
-"""Dataset: metadata and frame reads, queries, summaries."""
+"""Dataset: episodes, frames and images as tables, with reads, queries and merge."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trajspark import schema as schemas
+from trajspark import storage
 from trajspark.functions import scalars
+from trajspark.operators.ordering import fresh, with_position
+from trajspark.operators.validation import findings  # noqa: F401
 from trajspark.plans import kql
 
+META = ["position", "episode_id", "embodiment", "language_instruction", "num_frames", "fps", "action_dim", "state_dim", "success", "total_reward"]
+
 
 class Dataset:
-    """Episodes with their frames and, optionally, images; all lazily evaluated."""
+    """Episodes with their frames, images and catalog, where there are any.
+
+    Nothing is read until a result is. Frames and images belong to episodes by
+    ``position`` (and ``dataset``, if both have it), or else by ``episode_id``.
+    """
+
+    def __init__(self, episodes: DataFrame, frames: DataFrame | None = None, images: DataFrame | None = None, catalog: DataFrame | None = None):
+        self.episodes, self.frames, self.images, self.catalog = episodes, frames, images, catalog
 
-    def __init__(self, episodes: DataFrame, frames: DataFrame | None = None, images: DataFrame | None = None):
-        self.episodes, self.frames, self.images = episodes, frames, images
+    # Metadata ------------------------------------------------------------------------
 
     def query(self, text: str, limit: int | None = None) -> DataFrame:
-        """Episodes that satisfy a KQL query, by position; the filter reaches the scan of the metadata alone."""
+        """Episodes that satisfy a KQL query, by position. Only metadata is read; comparisons reach its scan."""
         hits = self.episodes.where(kql.compiled(text)).orderBy("position")
         return hits if limit is None else hits.limit(limit)
 
+    def query_table(self, text: str, limit: int | None = None) -> DataFrame:
+        """What a query shows: position, embodiment, frames, success, and the task cut to 28 characters."""
+        shown = F.when(F.col("success").isNull(), "unknown").otherwise(F.col("success").cast("string"))
+        return self.query(text, limit).select("position", "embodiment", "num_frames", "action_dim", shown.alias("success"), scalars.cut(F.col("language_instruction"), 28).alias("task"))
+
+    def served(self, text: str, limit: int = 0) -> DataFrame:
+        """Positions and metadata flags of the hits as a service returns them; a limit of 0 means all."""
+        return Dataset(self.query(text, limit or None)).meta_flags()
+
+    def positions(self, text: str) -> list[int]:
+        """The positions of the hits; a query that does not parse raises a ValueError."""
+        return [r[0] for r in self.query(text).select("position").collect()]
+
     def read_meta(self, position: int) -> DataFrame:
         return self.episodes.where(F.col("position") == position)
 
     def read_by_id(self, episode_id: int) -> DataFrame:
+        """The first episode of an id."""
         return self.episodes.where(F.col("episode_id") == episode_id).orderBy("position").limit(1)
 
+    def meta_flags(self) -> DataFrame:
+        e = F.col
+        keep = [c for c in ("dataset", *META[:-2]) if c in self.episodes.columns and c != "state_dim"]
+        return self.episodes.select(*keep, e("success").isNotNull().alias("has_success"), F.coalesce("success", F.lit(False)).alias("success"), e("total_reward").isNotNull().alias("has_reward"), F.coalesce("total_reward", F.lit(0.0)).alias("total_reward"))
+
+    def num_episodes(self) -> int:
+        return self.episodes.count()
+
+    def num_frames(self) -> int:
+        """As the catalog states it, else as the metadata say."""
+        table, column = (self.episodes, "num_frames") if self.catalog is None else (self.catalog, "num_frames")
+        return table.agg(F.coalesce(F.sum(column), F.lit(0))).head()[0]
+
+    def version(self) -> DataFrame:
+        return self.catalog.select("dataset", F.concat_ws(".", "version_major", "version_minor").alias("version"))
+
+    # Frames and images ---------------------------------------------------------------
+
+    def key(self, rows: DataFrame) -> list[str]:
+        shared = [c for c in ("dataset", "position") if c in rows.columns and c in self.episodes.columns]
+        return shared if "position" in shared else ["episode_id"]
+
+    def _of(self, rows: DataFrame, chosen: DataFrame) -> DataFrame:
+        on = [c for c in self.key(rows) if c in chosen.columns]
+        return rows.join(chosen.select(*on).distinct(), on, "left_semi")
+
     def read_frames(self, position: int) -> DataFrame:
         """The frames of one episode in order, without images."""
-        ids = self.read_meta(position).select("episode_id")
-        return self.frames.join(F.broadcast(ids), "episode_id", "left_semi").orderBy("timestep")
+        if "position" in self.frames.columns:
+            return self.frames.where(F.col("position") == position).orderBy("timestep")
+        return self.frames.join(F.broadcast(self.read_meta(position).select("episode_id")), "episode_id", "left_semi").orderBy("timestep")
 
     def fetch(self, hits: DataFrame) -> DataFrame:
         """Frames of the episodes in ``hits``."""
-        return self.frames.join(hits.select("episode_id"), "episode_id", "left_semi")
-
-    def meta_flags(self) -> DataFrame:
-        e = F.col
-        return self.episodes.select("position", e("success").isNotNull().alias("has_success"), F.coalesce("success", F.lit(False)).alias("success"), e("total_reward").isNotNull().alias("has_reward"), F.coalesce("total_reward", F.lit(0.0)).alias("total_reward"))
-
-    def info(self) -> DataFrame:
-        """Counts, mean length, and the success rate among episodes whose success is known."""
-        n, known = F.count("*"), F.count("success")
-        return self.episodes.agg(
-            n.alias("num_episodes"), F.coalesce(F.sum("num_frames"), F.lit(0)).cast("long").alias("total_frames"), (F.sum("num_frames") / n).alias("mean_frames"),
-            F.when(known > 0, F.count_if("success") / known * 100).alias("success_rate_known"),
-        )
-
-    def schema_report(self) -> DataFrame:
-        """Frame statistics, and the success rate among all episodes if any is known."""
-        known = F.count("success")
-        return self.episodes.agg(
-            F.min("num_frames").alias("min_frames"), F.max("num_frames").alias("max_frames"), F.avg("num_frames").alias("avg_frames"), F.countDistinct("language_instruction").alias("num_tasks"),
-            F.when(known > 0, F.count_if("success") / F.count("*") * 100).alias("success_rate_all"),
-        )
-
-    def distinct(self, column: str) -> DataFrame:
-        return self.episodes.groupBy(column).agg(F.count("*").alias("n"))
-
-    def byte_budget(self) -> DataFrame:
-        """Bytes of each episode's sections in the compact file layout."""
-        e = F.col
-        text = F.octet_length("embodiment") + F.octet_length("language_instruction")
-        return self.episodes.select(
-            "position", (10 + text + F.when(e("total_reward").isNotNull(), 4).otherwise(0)).cast("long").alias("meta_bytes"),
-            (e("num_frames") * (4 * (e("state_dim") + e("action_dim")) + 5)).cast("long").alias("action_bytes"), (e("num_frames") * 2).cast("long").alias("image_bytes"),
-        )
+        return self._of(self.frames, hits)
+
+    def only(self, hits: DataFrame) -> Dataset:
+        """The dataset of these episodes, places and ids as they are."""
+        return Dataset(self._of(self.episodes, hits), self.frames and self._of(self.frames, hits), self.images and self._of(self.images, hits), self.catalog)
+
+    def nested(self, images: bool = True, of: DataFrame | None = None) -> DataFrame:
+        """One row an episode, its frames in order as an array, the images of each frame (in order of camera_pos) in it.
+
+        An episode's frames meet in one task, as they must to be one value; episodes
+        without frames have an empty array.
+        """
+        frames, episodes = self.frames, self.episodes if of is None else self._of(self.episodes, of)
+        frames = frames if of is None else self._of(frames, of)
+        on = self.key(frames)
+        columns = [c for c in ("state", "action", "reward", "is_terminal") if c in frames.columns]
+        frames = frames.select(*on, "timestep", *columns)
+        if images and self.images is not None:
+            seen = self.images if of is None else self._of(self.images, of)
+            parts = [c for c in ("camera_pos", "camera", "width", "height", "channels", "format", "data") if c in seen.columns]
+            shown = F.transform(F.sort_array(F.collect_list(F.struct(*parts))), lambda i: F.struct(*(i[p].alias(p) for p in parts if p != "camera_pos")))
+            frames = frames.join(seen.groupBy(*on, "timestep").agg(shown.alias("images")), [*on, "timestep"], "left")
+            kind = frames.schema["images"].dataType
+            frames = frames.withColumn("images", F.coalesce("images", F.array().cast(kind)))
+        else:
+            frames = frames.withColumn("images", F.array().cast(f"array<{schemas.IMAGE}>"))
+        rows = frames.groupBy(*on).agg(F.sort_array(F.collect_list(F.struct("timestep", *columns, "images"))).alias("frames"))
+        out = episodes.join(rows, on, "left")
+        return out.withColumn("frames", F.coalesce("frames", F.array().cast(out.schema["frames"].dataType)))
+
+    def read_episode(self, position: int, images: bool = True) -> DataFrame:
+        """One row: the whole episode at a position."""
+        return self.nested(images, self.read_meta(position))
+
+    def read_episode_by_id(self, episode_id: int, images: bool = True) -> DataFrame:
+        return self.nested(images, self.read_by_id(episode_id))
+
+    def read_actions(self, position: int) -> DataFrame:
+        """One row: the episode without images, whose table is not read."""
+        return self.read_episode(position, images=False)
+
+    def fetch_positions(self, wanted: DataFrame, images: bool = True) -> DataFrame:
+        """Whole episodes for ``wanted`` (place, position, and dataset if there are several), by place.
+
+        A position may be wanted many times and is then given as often, but read and
+        nested once; one that does not exist is left out.
+        """
+        on = [c for c in ("dataset", "position") if c in wanted.columns and c in self.episodes.columns]
+        episodes = self.nested(images, wanted) if self.frames is not None else self._of(self.episodes, wanted)
+        return wanted.join(episodes, on).orderBy("place")
+
+    def first_camera(self, camera: str | None = None) -> DataFrame:
+        """The images of one camera across all frames: that named, or each episode's first one."""
+        if camera is not None:
+            return self.images.where(F.col("camera") == camera)
+        on = self.key(self.images)
+        first = self.images.groupBy(*on).agg(F.min_by("camera", F.struct("timestep", "camera_pos")).alias("camera"))
+        return self.images.join(first, [*on, "camera"])
+
+    # Storage -------------------------------------------------------------------------
+
+    def save(self, path: str) -> Dataset:
+        """Write the tables under ``path``, sorted so that a position is found by the statistics of few row groups."""
+        for name in ("episodes", "frames", "images"):
+            rows = getattr(self, name)
+            if rows is not None:
+                rows.repartitionByRange("position").sortWithinPartitions("position", *(["timestep"] if name != "episodes" else [])).write.mode("overwrite").parquet(f"{path}/{name}")
+        if self.catalog is not None:
+            self.catalog.write.mode("overwrite").parquet(f"{path}/catalog")
+        return Dataset.load(self.episodes.sparkSession, path, [n for n in ("frames", "images", "catalog") if getattr(self, n) is not None])
+
+    @staticmethod
+    def load(spark: SparkSession, path: str, tables: list[str]) -> Dataset:
+        """The dataset that ``save`` wrote, with these tables beside the episodes."""
+        return Dataset(spark.read.parquet(f"{path}/episodes"), **{n: spark.read.parquet(f"{path}/{n}") for n in tables})
 
 
 def merge(inputs: list[DataFrame], query: str | None = None) -> DataFrame:
-    """All inputs in order, duplicates kept, filtered on metadata, with new ids and positions."""
-    from trajspark.operators.ordering import with_position
+    """All metadata in order of the inputs, duplicates kept, filtered, with new ids and positions."""
+    return _merged(inputs, query).drop("_input", "_was")
 
-    kept = [(d.where(kql.compiled(query)) if query else d).withColumn("_order", F.lit(k << 40).cast("long") + F.col("position")) for k, d in enumerate(inputs)]
+
+def _merged(inputs: list[DataFrame], query: str | None) -> DataFrame:
+    """``merge`` with the input and the position there of each episode (_input, _was)."""
+    kept = [(d.where(kql.compiled(query)) if query else d).withColumn("_input", F.lit(k)).withColumn("_was", F.col("position")) for k, d in enumerate(inputs)]
     out = kept[0]
     for d in kept[1:]:
         out = out.unionByName(d, allowMissingColumns=True)
-    return with_position(out.drop("position", "episode_id"), "_order").withColumn("episode_id", F.col("position")).drop("_order")
-
-
-def findings(episodes: DataFrame, frames: DataFrame, images: DataFrame | None = None, index: DataFrame | None = None, num_episodes: int | None = None, num_frames: int | None = None) -> DataFrame:
-    """(position, timestep, check, severity, message): what validation finds in metadata, frames and images.
-
-    Frames and images belong to episodes by ``episode_id``, or else by ``position`` (and
-    ``dataset``). Checks on action, state, is_terminal and image sizes run where the columns
-    are there; ``index`` (position, num_frames, action_dim) and the two totals where given.
-    """
-
-    def key(rows: DataFrame) -> list[str]:
-        return ["episode_id"] if "episode_id" in rows.columns else [c for c in ("dataset", "position") if c in rows.columns and c in episodes.columns]
-
-    def found(rows: DataFrame, check: str, severity: str, *message: str | Column, timestep: Column | None = None, position: Column | None = None) -> DataFrame:
-        text = F.concat(*(F.lit(m) if isinstance(m, str) else F.coalesce(m.cast("string"), F.lit("null")) for m in message))
-        at = F.lit(None) if timestep is None else timestep
-        return rows.select((F.col("position") if position is None else position).cast("long").alias("position"), at.cast("long").alias("timestep"), F.lit(check).alias("check"), F.lit(severity).alias("severity"), text.alias("message"))
-
-    e = F.col
-    out = [found(episodes.where(e("episode_id") != e("position")), "id_mismatch", "warning", "id is ", e("episode_id"))]
-    for c, name in (("embodiment", "empty_embodiment"), ("language_instruction", "empty_task")):
-        out.append(found(episodes.where(F.coalesce(e(c), F.lit("")) == ""), name, "warning", "empty ", c))
-    for n, had, name in ((num_episodes, F.count("*"), "total_episodes"), (num_frames, F.coalesce(F.sum("num_frames"), F.lit(0)), "total_frames")):
-        if n is not None:
-            out.append(found(episodes.agg(had.alias("had")).where(e("had") != n), name, "error", f"{n} stated, found ", e("had"), position=F.lit(None)))
-    if index is not None:
-        by = [c for c in ("dataset", "position") if c in index.columns and c in episodes.columns]
-        both = episodes.join(index.select(*by, *(e(c).alias(f"index_{c}") for c in ("num_frames", "action_dim")), F.lit(True).alias("in_index")), by, "left")
-        out.append(found(both.where(e("in_index").isNull()), "missing_index", "error", "no index entry"))
-        for c in ("num_frames", "action_dim"):
-            out.append(found(both.where(e("in_index") & ~e(c).eqNullSafe(e(f"index_{c}"))), f"index_{c}", "error", e(c), " in metadata, in the index ", e(f"index_{c}")))
-
-    on, has = key(frames), set(frames.columns)
-    length = lambda c: F.coalesce(F.size(c), F.lit(0))
-    of = {"n": F.count("*")}
-    if "state" in has:
-        of["first_state"] = F.min_by(length("state"), "timestep")
-    if "is_terminal" in has:
-        of["ends"] = F.max_by(F.coalesce("is_terminal", F.lit(False)), "timestep")
-    seen = frames.groupBy(*on).agg(*(c.alias(name) for name, c in of.items()))
-    whole = episodes.select(*dict.fromkeys([*on, "position", "num_frames", "action_dim"])).join(seen, on, "left")
-    n = F.coalesce("n", F.lit(0))
-    out.append(found(whole.where(n != e("num_frames")), "frame_count", "error", n, " frames, metadata say ", e("num_frames")))
-    if "is_terminal" in has:
-        out.append(found(whole.where((n > 0) & ~e("ends")), "last_not_terminal", "warning", "last frame is not terminal"))
-    vectors = [c for c in ("action", "state") if c in has]
-    if vectors:
-        each = frames.select(*dict.fromkeys([*on, "timestep", *vectors])).join(whole.drop("n", "ends"), on)
-        if "action" in has:
-            out.append(found(each.where(length("action") != e("action_dim")), "action_length", "error", length("action"), " values, action_dim is ", e("action_dim"), timestep=e("timestep")))
-        if "state" in has:
-            out.append(found(each.where(length("state") != e("first_state")), "state_length", "error", length("state"), " values, frame 0 has ", e("first_state"), timestep=e("timestep")))
-        for c in vectors:
-            values = each.where(scalars.non_finite(F.col(c))).select("position", "timestep", F.posexplode(c).alias("dim", "x"))
-            bad = values.where(F.isnan("x") | (F.abs("x") == float("inf")))
-            out.append(found(bad, f"nonfinite_{c}", "warning", f"{c}[", e("dim"), "] is ", e("x"), timestep=e("timestep")))
-    if images is not None and {"width", "height", "channels"} <= set(images.columns):
-        on = key(images)
-        sized = images.join(episodes.select(*dict.fromkeys([*on, "position"])), on)
-        want, has_bytes = e("width").cast("long") * e("height") * e("channels"), F.coalesce(F.octet_length("data"), F.lit(0))
-        out.append(found(sized.where(has_bytes != want), "image_length", "error", e("camera"), ": ", has_bytes, " bytes, not ", want, timestep=e("timestep")))
-    total = out[0]
-    for more in out[1:]:
-        total = total.unionByName(more)
-    return total
+    # inputs have fewer than 2**40 episodes
+    out = out.withColumn(order := fresh(out, "_order"), F.shiftleft(F.col("_input").cast("long"), 40) + F.col("position"))
+    return with_position(out.drop("position", "episode_id"), order).withColumn("episode_id", F.col("position")).drop(order)
+
+
+def merge_datasets(inputs: list[Dataset], query: str | None = None, name: str = "merged") -> Dataset:
+    """Whole datasets one after the other; frames and images of episodes that are left out are not read on."""
+    episodes = _merged([d.episodes for d in inputs], query)
+    places = episodes.select("_input", "_was", "position")
+
+    def moved(table: str) -> DataFrame | None:
+        rows = [getattr(d, table) for d in inputs]
+        if any(r is None for r in rows):
+            return None
+        out = None
+        for k, r in enumerate(rows):
+            r = r.withColumn("_input", F.lit(k)).withColumnRenamed("position", "_was")
+            out = r if out is None else out.unionByName(r, allowMissingColumns=True)
+        return out.join(places, ["_input", "_was"]).drop("_input", "_was").withColumn("dataset", F.lit(name))
+
+    return Dataset(episodes.drop("_input", "_was").withColumn("dataset", F.lit(name)), moved("frames"), moved("images"))
+
+
+def merge_counts(inputs: list[DataFrame], query: str | None = None) -> DataFrame:
+    """(input, total, written, skipped, frames): what a merge takes from each input."""
+    keep: Column = kql.compiled(query) if query else F.lit(True)
+    out = None
+    for k, d in enumerate(inputs):
+        one = d.select(F.lit(k).alias("input"), keep.alias("keep"), "num_frames")
+        out = one if out is None else out.unionByName(one)
+    written = F.count_if("keep")
+    return out.groupBy("input").agg(F.count("*").alias("total"), written.alias("written"), (F.count("*") - written).alias("skipped"), F.coalesce(F.sum(F.when(F.col("keep"), F.col("num_frames"))), F.lit(0)).alias("frames"))
+
+
+def kept_dataset(spark: SparkSession, key: str, episodes, frames) -> Dataset:
+    """A derived dataset whose tables are written once an application."""
+    return Dataset(storage.kept(spark, f"{key}/episodes", episodes), storage.kept(spark, f"{key}/frames", frames))

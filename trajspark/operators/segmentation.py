@@ -10,28 +10,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from trajspark.operators import ranges
+from trajspark.operators.ordering import RANGE_ROWS, fresh
 
-def islands(steps: DataFrame, order: list[str], name: str = "episode", ranges: int = 64) -> DataFrame:
-    """A new episode begins at ``is_first`` and after ``is_last`` or ``is_terminal``; ``order[0]`` is a timestamp or number."""
+
+def islands(steps: DataFrame, order: list[str], name: str = "episode", n: int | None = None) -> DataFrame:
+    """A new episode begins at ``is_first`` and after ``is_last`` or ``is_terminal``; missing flags are false.
+
+    ``order`` must tell all steps apart; ``order[0]`` is a timestamp or a number, and
+    steps that share it are one range, as their order lies in the other columns.
+    """
     spark = steps.sparkSession
     raw = F.col(order[0])
-    key = F.unix_micros(raw.cast("timestamp")) if dict(steps.dtypes)[order[0]].startswith("timestamp") else raw.cast("long")
-    keyed = steps.withColumn("_key", key)
-    cuts = keyed.agg(F.percentile_approx("_key", [(i + 1) / ranges for i in range(ranges)], 10_000).alias("q")).head()["q"] or []
-    limits = F.array(*(F.lit(c).cast("long") for c in sorted(set(cuts)))) if cuts else F.array().cast("array<bigint>")
-    keyed = keyed.withColumn("_range", F.size(F.filter(limits, lambda c: c < F.col("_key"))))
-    w = Window.partitionBy("_range").orderBy(*order)
-    closes = F.coalesce(F.col("is_last"), F.lit(False)) | F.coalesce(F.col("is_terminal"), F.lit(False))
-    cut = keyed.withColumn("_closes", closes).withColumn("_before", F.lag("_closes").over(w))
+    key, at, closes, before, begins, running, start = (fresh(steps, c) for c in ("_key", "_range", "_closes", "_before", "_begins", "_running", "_start"))
+    keyed = steps.withColumn(key, F.unix_micros(raw.cast("timestamp")) if dict(steps.dtypes)[order[0]].startswith("timestamp") else raw.cast("long"))
+    total = keyed.count()
+    cut = ranges.even(keyed, key, n or max(64, -(-total // RANGE_ROWS)), total)
+    keyed = keyed.withColumn(at, F.when(F.col(key).isNull(), -1).otherwise(cut.place(F.col(key))))
+    w = Window.partitionBy(at).orderBy(*order)
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    parted = keyed.withColumn(closes, flag("is_last") | flag("is_terminal")).withColumn(before, F.lag(closes).over(w))
     # inside a range the first step's cut is open until the range before is known
-    cut = cut.withColumn("_begins", (F.coalesce("is_first", F.lit(False)) | F.coalesce("_before", F.lit(False))).cast("long"))
-    last = F.max_by("_closes", F.struct(*order)).alias("closes")
-    first = F.min_by("_begins", F.struct(*order)).alias("begins")
-    rows, start, closed = [], -1, True
-    for r in sorted(cut.groupBy("_range").agg(F.sum("_begins").alias("n"), last, first).collect(), key=lambda r: r["_range"]):
+    parted = parted.withColumn(begins, (flag("is_first") | flag(before)).cast("long"))
+    last, first = F.max_by(closes, F.struct(*order)), F.min_by(begins, F.struct(*order))
+    rows, so_far, closed = [], -1, True
+    found = parted.groupBy(at).agg(F.sum(begins).alias("n"), last.alias("closes"), first.alias("begins")).collect()
+    for r in sorted(found, key=lambda r: r[0]):
         more = int(closed and not r["begins"])
-        rows.append((r["_range"], start + more))
-        start, closed = start + more + r["n"], r["closes"]
-    offset = F.broadcast(spark.createDataFrame(rows, "_range int, _start long"))
-    running = F.sum("_begins").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return cut.withColumn("_running", running).join(offset, "_range").withColumn(name, F.col("_start") + F.col("_running")).drop("_key", "_range", "_closes", "_before", "_begins", "_running", "_start")
+        rows.append((r[0], so_far + more))
+        so_far, closed = so_far + more + r["n"], r["closes"]
+    offset = F.broadcast(spark.createDataFrame(rows, f"`{at}` int, `{start}` long"))
+    out = parted.withColumn(running, F.sum(begins).over(w.rowsBetween(Window.unboundedPreceding, 0))).join(offset, at)
+    return out.withColumn(name, F.col(start) + F.col(running)).drop(key, at, closes, before, begins, running, start)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 from functools import reduce
@@ -16,6 +17,8 @@ FIELDS = {
 }
 _SCAN = re.compile(r"""(?P<str>'[^']*'?|"[^"]*"?)|(?P<op>[!<>]=|[=<>])|(?P<num>-?[0-9][0-9.]*)|(?P<word>[^\W\d][\w]*)|(?P<skip>.)""", re.S)
 EPS = 1e-6
+#: Fields of integers.
+WHOLE = {"num_frames", "action_dim"}
 
 
 class KqlParseError(ValueError):
@@ -97,6 +100,20 @@ def _number(c: Column, op: str, v: float) -> Column:
     return F.lit(False) if test is None else F.coalesce(~F.isnan(d) & test, F.lit(False))
 
 
+def _whole(c: Column, op: str, v: float) -> Column:
+    """The same on an integer column, as comparisons that a scan can use."""
+    if abs(v) >= 2.0**62:  # beyond all counts; a bound would overflow
+        return _number(c, op, v)
+    known, low, near = c.isNotNull(), math.floor(v), round(v)
+    one = F.lit(near).cast("long") if abs(near - float(v)) < EPS else None
+    bound = {">": lambda: c > F.lit(low).cast("long"), "<=": lambda: c <= F.lit(low).cast("long"), ">=": lambda: c >= F.lit(math.ceil(v)).cast("long"), "<": lambda: c < F.lit(math.ceil(v)).cast("long")}
+    if op in bound:
+        return known & bound[op]()
+    if op == "=":
+        return F.lit(False) if one is None else known & (c == one)
+    return known if op == "!=" and one is None else known & (c != one) if op == "!=" else F.lit(False)
+
+
 def predicate(c: Condition, strict_nulls: bool = True) -> Column:
     """A never-null boolean column for one condition; mismatched types are constant false."""
     name, kind = FIELDS[c.field]
@@ -106,16 +123,18 @@ def predicate(c: Condition, strict_nulls: bool = True) -> Column:
         if not isinstance(v, str):
             return no
         tests = {"=": col == v, "!=": col != v, "CONTAINS": F.contains(F.lower(col), F.lit(v.lower()))}
-        return F.coalesce(tests[c.op], no) if c.op in tests else no
+        return col.isNotNull() & tests[c.op] if c.op in tests else no
     if kind == "flag":
         if v is None:
             return {"=": col.isNull(), "!=": col.isNotNull()}.get(c.op, no)
         if not isinstance(v, bool):
             return no
-        return {"=": F.coalesce(col == v, no), "!=": ~col.eqNullSafe(F.lit(v))}.get(c.op, no)
+        return {"=": col.isNotNull() & (col == v), "!=": ~col.eqNullSafe(F.lit(v))}.get(c.op, no)
     if kind == "reward" and v is None:
         return col.isNull() if c.op == "=" else col.isNotNull() if c.op == "!=" and not strict_nulls else no
-    return _number(col, c.op, v) if numeric else no
+    if not numeric:
+        return no
+    return _whole(col, c.op, v) if c.field in WHOLE else _number(col, c.op, v)
 
 
 def compiled(query: str, strict_nulls: bool = True) -> Column:

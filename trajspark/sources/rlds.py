@@ -14,10 +14,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from trajspark.functions import images as codecs
+from trajspark.functions import scalars
 from trajspark.operators.segmentation import islands
 
 STEP = "path string, record bigint, is_first boolean, is_last boolean, is_terminal boolean, reward float, action array<float>, state array<float>, task string"
@@ -157,12 +159,17 @@ def _files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*tfrecord*").load(folder)
 
 
+def _numbered(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(path, file) in order of the paths, and (path, content)."""
+    # the driver lists these paths to plan the scan anyway; contents aren't read here
+    paths = sorted((r["path"] for r in _files(spark, folder).select("path").collect()), key=lambda p: p.split("/"))
+    return spark.createDataFrame([(p, k) for k, p in enumerate(paths)], "path string, file bigint"), _files(spark, folder).select("path", "content")
+
+
 def steps(spark: SparkSession, folder: str) -> DataFrame:
     """One row per parsed record, with the ``key`` that orders all of them."""
-    # the driver lists these paths to plan the scan anyway; contents aren't read here
-    paths = sorted(r["path"] for r in _files(spark, folder).select("path").collect())
-    numbers = spark.createDataFrame([(p, k) for k, p in enumerate(paths)], "path string, file bigint")
-    return _files(spark, folder).select("path", "content").mapInArrow(_parse, STEP).join(numbers, "path").withColumn("key", F.col("file") * PER_FILE + F.col("record"))
+    numbers, files = _numbered(spark, folder)
+    return files.mapInArrow(_parse, STEP).join(numbers, "path").withColumn("key", F.col("file") * PER_FILE + F.col("record"))
 
 
 def default_task(spark: SparkSession, folder: str) -> str | None:
@@ -175,26 +182,78 @@ def default_task(spark: SparkSession, folder: str) -> str | None:
     return text if isinstance(text, str) and text else None
 
 
-def frames(spark: SparkSession, folder: str, dataset: str | None = None, max_episodes: int | None = None) -> DataFrame:
-    """One row per step; terminal if the step says so or is the last of its episode."""
+def _shots(found: dict) -> list[tuple[str, bytes]]:
+    """(camera, bytes) of the decodable images of an Example, by key."""
+    out = []
+    for key in sorted(found):
+        v = found[key]
+        if "image" in key and isinstance(v, list) and v and isinstance(v[0], bytes):
+            try:
+                codecs.decode(v[0])
+            except codecs.ImageError:
+                continue
+            out.append((key.replace("observation/", "").replace("image/", "").replace("image", "camera"), v[0]))
+    return out
+
+
+def _parse_images(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path, data in zip(batch.column(0), batch.column(1)):
+            path, rows = path.as_py(), []
+            for k, payload in enumerate(records(data.as_py())):
+                try:
+                    rows += [(path, k, n, camera, shot) for n, (camera, shot) in enumerate(_shots(example(payload)))]
+                except (ValueError, IndexError, TypeError, AttributeError):
+                    continue  # by contract, records that don't parse are left out
+                if len(rows) >= BATCH:
+                    yield _image_table(rows)
+                    rows = []
+            if rows:
+                yield _image_table(rows)
+
+
+def _image_table(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int64(), pa.int32(), pa.string(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["path", "record", "camera_pos", "camera", "data"])
+
+
+def _named(folder: str, dataset: str | None) -> Column:
+    return F.lit(dataset or folder.rstrip("/").rsplit("/", 1)[-1])
+
+
+def _keyed_frames(spark: SparkSession, folder: str, dataset: str | None, max_episodes: int | None) -> DataFrame:
     cut = islands(steps(spark, folder), ["key"], "position")
     if max_episodes is not None:
         cut = cut.where(F.col("position") < max_episodes)
     w = Window.partitionBy("position")
     return cut.select(
-        F.lit(dataset or folder.rstrip("/").rsplit("/", 1)[-1]).alias("dataset"), "position", (F.row_number().over(w.orderBy("key")).cast("long") - 1).alias("timestep"),
+        _named(folder, dataset).alias("dataset"), "position", (F.row_number().over(w.orderBy("key")).cast("long") - 1).alias("timestep"),
         "state", "action", "reward", (F.col("is_terminal") | (F.col("key") == F.max("key").over(w))).alias("is_terminal"), "key", "task", F.col("is_terminal").alias("flagged"),
     )
 
 
+def frames(spark: SparkSession, folder: str, dataset: str | None = None, max_episodes: int | None = None) -> DataFrame:
+    """One row per step; terminal if the step says so or is the last of its episode."""
+    return _keyed_frames(spark, folder, dataset, max_episodes).drop("key", "task", "flagged")
+
+
+def images(spark: SparkSession, folder: str, dataset: str | None = None, max_episodes: int | None = None) -> DataFrame:
+    """(dataset, position, timestep, camera_pos, camera, data): encoded images as they are; undecodable ones are left out."""
+    paths, files = _numbered(spark, folder)
+    shots = files.mapInArrow(_parse_images, "path string, record long, camera_pos int, camera string, data binary").join(paths, "path").withColumn("key", F.col("file") * PER_FILE + F.col("record"))
+    places = _keyed_frames(spark, folder, dataset, max_episodes).select("dataset", "position", "timestep", "key")
+    return shots.join(places, "key").select("dataset", "position", "timestep", "camera_pos", "camera", "data")
+
+
 def read(spark: SparkSession, folder: str, dataset: str | None = None, embodiment: str = "unknown", task: str | None = None, fps: float = 10.0, max_episodes: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(episodes, frames) of the folder. Success is the last step's own terminal flag; the reward is summed."""
-    rows = frames(spark, folder, dataset, max_episodes)
+    """(episodes, frames) of the folder. Success is the last step's own terminal flag; the reward is the float sum of the steps' in order."""
+    rows = _keyed_frames(spark, folder, dataset, max_episodes)
     given = F.lit(task if task is not None else default_task(spark, folder) or "")
     instruction = F.lit(task) if task is not None else F.coalesce(F.min_by("task", "timestep"), given)
+    rewards = F.transform(F.sort_array(F.collect_list(F.struct("timestep", "reward"))), lambda x: x["reward"])
     episodes = rows.groupBy("dataset", "position").agg(
         instruction.alias("language_instruction"), F.count("*").alias("num_frames"), F.min_by(F.size("action"), "timestep").alias("action_dim"), F.min_by(F.size("state"), "timestep").alias("state_dim"),
-        F.max_by("flagged", "timestep").alias("success"), F.sum("reward").cast("float").alias("total_reward"),
+        F.max_by("flagged", "timestep").alias("success"), scalars.left_fold(rewards).alias("total_reward"),
     )
     episodes = episodes.select(
         "dataset", "position", F.col("position").alias("episode_id"), F.lit(embodiment).alias("embodiment"), "language_instruction", "num_frames", F.lit(fps).cast("float").alias("fps"),

@@ -37,3 +37,13 @@ def kept(spark: SparkSession, key: str, build: Callable[[], DataFrame]) -> DataF
         build().write.parquet(path)
         _kept[name] = path
     return spark.read.parquet(_kept[name])
+
+
+def put(path: str, content: bytes) -> None:
+    """Write a small file, with the folders above it."""
+    from pyarrow import fs
+
+    files, where = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    files.create_dir(where.rsplit("/", 1)[0], recursive=True)
+    with files.open_output_stream(where) as out:
+        out.write(content)

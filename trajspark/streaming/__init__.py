@@ -1,0 +1 @@
+"""Structured Streaming: datasets that grow."""

@@ -200,7 +200,8 @@ def sets_of(docs: DataFrame, nodes: DataFrame, k: int, weighting: str) -> DataFr
 def spread(left: DataFrame, right: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
     """``left`` joined to ``right``, which has a row per ``key``: the rows of one key are dealt over tasks by ``by``."""
     salt = F.pmod(F.xxhash64(by), F.lit(SALTS))
-    copies = right.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    # a size that Spark knows before the copies are made would let it broadcast many times as much
+    copies = right.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))).hint("merge")
     return left.withColumn("salt", salt).join(copies, [key, "salt"], how).drop("salt")
 
 

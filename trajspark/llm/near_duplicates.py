@@ -188,7 +188,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame, k: int, weighting: str) -> DataFr
                 sets, times = _packed(h, weight, np.searchsorted(doc, np.arange(n + 1)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), sets, times], names=["node", "set", "times"])
 
-    few = F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes
+    few = F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes.hint("merge")
     rows = docs.select(_id(docs).alias("node"), "text").join(few, "node", "left_semi")
     kind = rows.schema["node"].dataType.simpleString()
     return frames.lean(rows).mapInArrow(run, f"node {kind}, set binary, times binary").where(F.octet_length("set") > 0)
@@ -434,7 +434,7 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     name, goes = frames.fresh(docs, "_id"), frames.fresh(docs, "_goes")
     odd = rows.select(F.col("doc_id").alias(name), (F.col("class") != F.col("doc_id")).alias(goes), "rows").where(F.col(goes) | (F.col("rows") > 1)).drop("rows")
     odd = frames.written(odd, "odd")
-    few = F.broadcast(odd) if odd.count() <= BROADCAST_IDS else odd
+    few = F.broadcast(odd) if odd.count() <= BROADCAST_IDS else odd.hint("merge")
     marked = docs.join(few, _id(docs) == few[name], "left")
     out = marked.where(F.col(name).isNull()).drop(name, goes)
     if odd.where(~F.col(goes)).isEmpty():

@@ -34,9 +34,10 @@ all its rows lack ids. Other columns are ignored. An empty table gives an empty
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,8 +54,9 @@ ALL_PAIRS, HUBS = 12, 4
 SALTS, FAN = 16, 512
 #: Members of a block and their shingles, about, and the shingles that are counted at once.
 BLOCK, BLOCK_SHINGLES, STRIPE = 256, 500_000, 4096
-#: Candidate ids (8 bytes) that may be broadcast to pick their texts in the scan; beyond it texts are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Candidate ids (8 bytes) that may be broadcast to pick their texts in the scan; beyond it the texts that pass a
+#: Bloom filter of 2 ** BLOOM bits (16 MB, however many ids) are joined by a shuffle.
+BROADCAST_IDS, BLOOM = 1_000_000, 27
 
 
 # Weighted sets -----------------------------------------------------------------------
@@ -179,6 +181,29 @@ def signatures(docs: DataFrame, k: int = WORDS, bands: int = BANDS, rows: int =
     return frames.lean(rows_in).mapInArrow(run, schema)
 
 
+def maybe_in(ids: DataFrame) -> Callable[[Column], Column]:
+    """A condition that every id of ``ids`` (one column) meets and few others do: a Bloom filter of fixed size.
+
+    Past some 50 million ids it lets most others through, so an exact join must follow.
+    """
+
+    def places(c: Column) -> list[Column]:
+        return [F.shiftrightunsigned(F.xxhash64(c, F.lit(seed)), 64 - BLOOM) for seed in (1, 2)]
+
+    at = ids.select(F.explode(F.array(*places(F.col(ids.columns[0])))).alias("at"))
+    filled = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("bits")).toArrow()
+    words = np.zeros(1 << (BLOOM - 6), np.int64)
+    words[filled.column("word").to_numpy()] = filled.column("bits").to_numpy()
+    held = ids.sparkSession.sparkContext.broadcast(words)
+
+    @F.pandas_udf("boolean")
+    def known(x: pd.Series, y: pd.Series) -> pd.Series:
+        bits = [held.value[p >> 6] >> (p & 63) & 1 for p in (x.to_numpy(), y.to_numpy())]
+        return pd.Series((bits[0] & bits[1]).astype(bool))
+
+    return lambda c: known(*places(c))
+
+
 def sets_of(docs: DataFrame, nodes: DataFrame, k: int, weighting: str) -> DataFrame:
     """(node, set, times) of the documents whose id is in ``nodes``."""
 
@@ -188,8 +213,11 @@ def sets_of(docs: DataFrame, nodes: DataFrame, k: int, weighting: str) -> DataFr
                 sets, times = _packed(h, weight, np.searchsorted(doc, np.arange(n + 1)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), sets, times], names=["node", "set", "times"])
 
-    few = F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes.hint("merge")
-    rows = docs.select(_id(docs).alias("node"), "text").join(few, "node", "left_semi")
+    rows = docs.select(_id(docs).alias("node"), "text")
+    if nodes.count() <= BROADCAST_IDS:
+        rows = rows.join(F.broadcast(nodes), "node", "left_semi")
+    else:
+        rows = frames.lean(rows).where(maybe_in(nodes)(F.col("node"))).join(nodes.hint("merge"), "node", "left_semi")
     kind = rows.schema["node"].dataType.simpleString()
     return frames.lean(rows).mapInArrow(run, f"node {kind}, set binary, times binary").where(F.octet_length("set") > 0)
 
@@ -427,16 +455,21 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, all columns, but one document of each class: that with the smallest doc_id.
 
     Of rows that share a doc_id one stays. Rows without id stay. Texts are not moved: the ids
-    that go are picked in the scan while there are at most ``BROADCAST_IDS``, beyond it by a shuffle.
+    that go are picked in the scan while there are at most ``BROADCAST_IDS``; beyond it only the
+    texts that ``maybe_in`` lets through are shuffled.
     """
     found = frames.written(classes(docs, **options), "classes").where("doc_id is not null")
     rows = found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("class_id").alias("class"))
     name, goes = frames.fresh(docs, "_id"), frames.fresh(docs, "_goes")
     odd = rows.select(F.col("doc_id").alias(name), (F.col("class") != F.col("doc_id")).alias(goes), "rows").where(F.col(goes) | (F.col("rows") > 1)).drop("rows")
     odd = frames.written(odd, "odd")
-    few = F.broadcast(odd) if odd.count() <= BROADCAST_IDS else odd.hint("merge")
-    marked = docs.join(few, _id(docs) == few[name], "left")
-    out = marked.where(F.col(name).isNull()).drop(name, goes)
+    if odd.count() <= BROADCAST_IDS:
+        marked = docs.join(F.broadcast(odd), _id(docs) == odd[name], "left")
+        out = marked.where(F.col(name).isNull()).drop(name, goes)
+    else:
+        maybe = maybe_in(odd.select(name))(_id(docs))
+        marked = docs.where(maybe).join(odd.hint("merge"), _id(docs) == odd[name], "left")
+        out = frames.lean(docs).where(~maybe).unionByName(marked.where(F.col(name).isNull()).drop(name, goes))
     if odd.where(~F.col(goes)).isEmpty():
         return out
     return out.unionByName(marked.where(~F.col(goes)).dropDuplicates([name]).drop(name, goes))

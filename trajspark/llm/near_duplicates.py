@@ -184,7 +184,7 @@ def signatures(docs: DataFrame, k: int = WORDS, bands: int = BANDS, rows: int =
 def maybe_in(ids: DataFrame) -> Callable[[Column], Column]:
     """A condition that every id of ``ids`` (one column) meets and few others do: a Bloom filter of fixed size.
 
-    Past some 50 million ids it lets most others through, so an exact join must follow.
+    By computation 28 % of other ids pass at 50 million ids, 60 % at 100 million: an exact join must follow.
     """
 
     def places(c: Column) -> list[Column]:

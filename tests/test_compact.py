@@ -1,9 +1,11 @@
 """The compact format: header, index, sections, round trips, refusals."""
 
 import os
+import pickle
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,3 +123,32 @@ def test_constructors():
     assert schema.image("front", 2, 1, 3, b"123456")["format"] == 0
     with pytest.raises(ValueError):
         schema.image("front", 2, 1, 3, b"12345")
+
+
+def written(path, sizes, tasks=2):
+    """A file of episodes with so many frames, written by the sink's tasks without Spark; their messages."""
+    frame = lambda p, t: {"timestep": t, "state": [p, t], "action": [t] * (1 + p % 2), "reward": None, "is_terminal": False, "images": []}
+    rows = [{"position": p, "embodiment": f"e{p}", "language_instruction": "t", "fps": 1.0, "success": True, "total_reward": None, "action_dim": None, "frames": [frame(p, t) for t in range(n)]} for p, n in enumerate(sizes)]
+    writer = compact._Writer({"path": path, "created": "5"}, True)
+    done = [writer.write(iter([pa.RecordBatch.from_pylist(list(part))])) for part in np.array_split(np.array(rows, object), tasks)]
+    writer.commit(done[::-1])
+    return done
+
+
+def test_driver_holds_no_index(tmp_path, monkeypatch):
+    sizes = [1 + p % 3 for p in range(500)]
+    path = str(tmp_path / "d.traj")
+    monkeypatch.setattr(compact, "BLOCK", 7, raising=False)
+    # a task's message and the plan do not grow with its episodes (64 bytes of index for each before)
+    assert all(len(pickle.dumps(m)) < 600 for m in written(path, sizes))
+    header, index = compact.opened(path)
+    e = index.entries
+    assert os.listdir(tmp_path) == ["d.traj"] and header.num_episodes == 500 and header.num_frames == sum(sizes)
+    assert e["id"].tolist() == list(range(500)) and e["num_frames"].tolist() == sizes
+    assert (e["meta_offset"][1:] == (e["images_offset"] + e["images_length"])[:-1]).all() and e["meta_offset"][0] == 64
+    monkeypatch.setattr(Index, "decode", None)
+    reader = compact._Reader({"path": path, "positions": "499,3,17,500,-1"}, "frames")
+    parts = reader.partitions()
+    assert [list(p.places) for p in parts] == [[3, 17, 499]]
+    rows = [r for b in reader.read(parts[0]) for r in b.to_pylist()]
+    assert [(r["position"], r["timestep"], r["state"], r["action"]) for r in rows] == [(p, t, [p, t], [t] * (1 + p % 2)) for p in (3, 17, 499) for t in range(sizes[p])]

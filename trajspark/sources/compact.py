@@ -3,14 +3,17 @@
 A file is a header of 64 bytes, each episode's metadata, actions section and images
 section, and an index of 64 bytes an episode at its end; all numbers little-endian.
 Readers see three tables (option ``table``: ``episodes``, ``frames`` or ``images``). The
-driver reads header and index alone; tasks read byte ranges of whole episodes, about
-``SPLIT`` bytes each, and for episodes or frames never the images. Option ``positions``
-(comma-separated) reads these episodes only. Paths are local or any that pyarrow opens.
+driver reads the header, and passes over the index in blocks to cut it into ranges of
+whole episodes, about ``SPLIT`` bytes each; tasks read their own entries and sections,
+and for episodes or frames no images beyond gaps of ``GAP`` bytes. Option ``positions``
+(comma-separated) reads these episodes and their entries only. Paths are local or any
+that pyarrow opens.
 
 The sink takes ``schema.EPISODE_ROWS`` (frames nested in order, images in frames). Tasks
-write parts beside the target, in order of position; the commit appends them, writes
-the index, then the header, and moves the file into place, so a failed job leaves no
-file. Positions are renumbered from 0, and ids with them.
+write parts and their entries beside the target, in order of position; the commit writes
+the header, appends the parts and then the entries, block by block, and moves the file
+into place, so a failed job leaves no file. No step of the driver holds an index.
+Positions are renumbered from 0, and ids with them.
 """
 
 from __future__ import annotations
@@ -22,9 +25,11 @@ import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
@@ -39,6 +44,12 @@ INDEX = np.dtype([("id", "<u8"), ("num_frames", "<u4"), ("action_dim", "<u2"), (
 SUCCESS = {None: 0, False: 1, True: 2}
 #: Bytes of episodes that a task reads, about.
 SPLIT = 32 << 20
+#: Entries that are held at once.
+BLOCK = 1 << 15
+#: Sections no further apart are read together, up to so many bytes.
+GAP, READ = 4 << 10, 4 << 20
+#: Wanted entries no further apart in the index are read together.
+ENTRY_GAP = 16
 
 
 class CompactError(ValueError):
@@ -157,6 +168,7 @@ def decode_meta(data: bytes) -> tuple[str, str, float, bool | None, float | None
 # Sections ----------------------------------------------------------------------------
 
 
+@lru_cache(64)
 def frame_type(state_dim: int, action_dim: int) -> np.dtype:
     return np.dtype([("state", "<f4", (state_dim,)), ("action", "<f4", (action_dim,)), ("reward", "<f4"), ("terminal", "u1")])
 
@@ -187,6 +199,45 @@ def encode_episode(row: dict, quality: int | None = None) -> tuple[bytes, bytes,
     return meta, out.tobytes(), b"".join(pictures), (len(frames), want, state_dim)
 
 
+def encoded(batch: pa.RecordBatch, quality: int | None = None) -> Iterator[tuple]:
+    """(position, *encode_episode) of each row; episodes of one shape without images are encoded together."""
+    if (found := _plain(batch)) is None:
+        for row in batch.to_pylist():
+            yield row["position"], *encode_episode(row, quality)
+        return
+    sizes, raw, width, want, state_dim = found
+    columns = [batch.column(c).to_pylist() for c in ("position", "embodiment", "language_instruction", "fps", "success", "total_reward")]
+    at = 0
+    for n, position, *about in zip(sizes, *columns):
+        yield position, encode_meta(*about), raw[at : at + n * width], bytes(2 * n), (n, want, state_dim)
+        at += n * width
+
+
+def _plain(batch: pa.RecordBatch) -> tuple | None:
+    """(frames of each row, all actions sections, bytes of a frame, action_dim, state_dim); None unless ``encode_episode`` takes each row as it is, in one shape."""
+    frames = batch.column("frames")
+    each = frames.flatten()
+    if frames.null_count or each.null_count or not len(each) or len(each.field("images").flatten()):
+        return None
+    sizes = pc.list_value_length(frames).to_pylist()
+    vectors = {}
+    for c in ("state", "action"):
+        lists = each.field(c)
+        values, lengths = lists.flatten(), pc.unique(pc.list_value_length(lists))
+        if lists.null_count or values.null_count or len(lengths) != 1 or lengths[0].as_py() > 0xFFFF:
+            return None
+        vectors[c] = values.to_numpy(zero_copy_only=False).reshape(len(each), lengths[0].as_py())
+    state_dim, want = (vectors[c].shape[1] for c in ("state", "action"))
+    if min(sizes) == 0 or {want, *pc.unique(batch.column("action_dim")).to_pylist()} - {want, None}:
+        return None
+    out = np.zeros(len(each), frame_type(state_dim, want))
+    out["state"], out["action"] = vectors["state"], vectors["action"]
+    # a missing reward is kept as 0
+    out["reward"] = pc.fill_null(each.field("reward"), 0.0).to_numpy(zero_copy_only=False) + np.float32(0)
+    out["terminal"] = pc.fill_null(each.field("is_terminal"), False).to_numpy(zero_copy_only=False)
+    return sizes, out.tobytes(), out.itemsize, want, state_dim
+
+
 def decode_frames(data: bytes, num_frames: int, state_dim: int, action_dim: int) -> np.ndarray:
     kind = frame_type(state_dim, action_dim)
     if len(data) < num_frames * kind.itemsize:
@@ -227,16 +278,40 @@ def absolute(path: str) -> str:
     return path if "://" in path or path.startswith("file:") else os.path.abspath(path)
 
 
+def _header(f: pa.NativeFile) -> Header:
+    header = Header.decode(f.read_at(HEADER.size, 0))
+    if header.index_offset + header.index_length > f.size():
+        raise CompactError("IndexBeyondEnd", f"{header.index_offset} + {header.index_length} of {f.size()}")
+    if header.index_length % INDEX.itemsize:
+        raise CompactError("BadAlignment", f"{header.index_length} bytes")
+    return header
+
+
+def header_of(path: str) -> Header:
+    """The header of a file; nothing else is read."""
+    files, where = _filesystem(path)
+    with files.open_input_file(where) as f:
+        return _header(f)
+
+
 def opened(path: str) -> tuple[Header, Index]:
-    """Header and index of a file; its data is not read."""
+    """Header and whole index of a file; its data is not read."""
     files, where = _filesystem(path)
     with files.open_input_file(where) as f:
-        header = Header.decode(f.read_at(HEADER.size, 0))
-        if header.index_offset + header.index_length > f.size():
-            raise CompactError("IndexBeyondEnd", f"{header.index_offset} + {header.index_length} of {f.size()}")
+        header = _header(f)
         return header, Index.decode(f.read_at(header.index_length, header.index_offset))
 
 
+def _entries(f: pa.NativeFile, index_offset: int, places: range | list[int]) -> np.ndarray:
+    """The entries at ascending places; those far from each other are read by themselves."""
+    runs = np.array(places)
+    found = []
+    for run in np.split(runs, np.flatnonzero(np.diff(runs) > ENTRY_GAP) + 1):
+        first, n = int(run[0]), int(run[-1] - run[0]) + 1
+        found.append(np.frombuffer(f.read_at(n * INDEX.itemsize, index_offset + first * INDEX.itemsize), INDEX)[run - first])
+    return np.concatenate(found)
+
+
 def from_bytes(data: bytes) -> tuple[Header, Index]:
     header = Header.decode(data)
     if header.index_offset + header.index_length > len(data):
@@ -247,8 +322,8 @@ def from_bytes(data: bytes) -> tuple[Header, Index]:
 @dataclass
 class _Part(InputPartition):
     path: str = ""
-    entries: bytes = b""
-    positions: list = field(default_factory=list)
+    index_offset: int = 0
+    places: range | list = field(default_factory=list)
 
 
 class _Reader(DataSourceReader):
@@ -260,52 +335,101 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[_Part]:
         parts = []
         for path in self.paths:
-            _, index = opened(path)
-            size = index.entries["actions_length"] + (index.entries["images_length"] if self.table == "images" else 0)
-            chosen = [p for p in range(len(index)) if self.only is None or p in self.only]
-            held, total = [], 0
-            for p in chosen:
-                held.append(p)
-                total += int(size[p]) if self.table != "episodes" else 256
-                if total >= SPLIT:
-                    parts.append(_Part(path, index.entries[held].tobytes(), held))
-                    held, total = [], 0
-            if held:
-                parts.append(_Part(path, index.entries[held].tobytes(), held))
+            files, where = _filesystem(path)
+            with files.open_input_file(where) as f:
+                header = _header(f)
+                n = header.index_length // INDEX.itemsize
+                chosen = range(n) if self.only is None else sorted(p for p in self.only if 0 <= p < n)
+                start, total = 0, 0
+                for k in range(0, len(chosen), BLOCK):
+                    ends = total + np.cumsum(self._sizes(_entries(f, header.index_offset, chosen[k : k + BLOCK])))
+                    cut = 0
+                    while (at := int(np.searchsorted(ends, cut + SPLIT))) < len(ends):
+                        parts.append(_Part(path, header.index_offset, chosen[start : k + at + 1]))
+                        start, cut = k + at + 1, int(ends[at])
+                    total = int(ends[-1]) - cut
+                if start < len(chosen):
+                    parts.append(_Part(path, header.index_offset, chosen[start:]))
         return parts or [_Part()]
 
+    def _sizes(self, entries: np.ndarray) -> np.ndarray:
+        if self.table == "episodes":
+            return np.full(len(entries), 256)
+        return (entries["actions_length"] + (entries["images_length"] if self.table == "images" else np.uint64(0))).astype(np.int64)
+
     def read(self, part: _Part) -> Iterator[pa.RecordBatch]:
-        if not part.positions:
+        if not part.places:
             return
         files, where = _filesystem(part.path)
         name = posixpath.splitext(posixpath.basename(part.path))[0]
         arrow = schemas.arrow(self.table)
         with files.open_input_file(where) as f:
-            rows = []
-            for position, entry in zip(part.positions, np.frombuffer(part.entries, INDEX)):
-                section = lambda s, e=entry: f.read_at(int(e[f"{s}_length"]), int(e[f"{s}_offset"]))
-                n, a, s = (int(entry[k]) for k in ("num_frames", "action_dim", "state_dim"))
-                if self.table == "episodes":
-                    embodiment, task, fps, success, reward = decode_meta(section("meta"))
-                    rows.append((name, position, int(entry["id"]), embodiment, task, n, fps, a, s, success, reward))
-                elif self.table == "frames":
-                    found = decode_frames(section("actions"), n, s, a)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([name] * n), pa.array([position] * n, pa.int64()), pa.array(np.arange(n)), _vectors(found["state"]), _vectors(found["action"]), pa.array(np.ascontiguousarray(found["reward"])), pa.array(found["terminal"] != 0)],
-                        schema=arrow,
-                    )
-                else:
-                    rows += [(name, position, *image) for image in decode_images(section("images"), n, self.decoded)]
-                if len(rows) >= 256:
-                    yield _batch(rows, arrow)
-                    rows = []
-            if rows:
+            for k in range(0, len(part.places), BLOCK):
+                places = part.places[k : k + BLOCK]
+                yield from getattr(self, f"_{self.table}")(f, name, places, _entries(f, part.index_offset, places), arrow)
+
+    def _episodes(self, f: pa.NativeFile, name: str, places: range | list, entries: np.ndarray, arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
+        rows = []
+        kinds = zip(*(entries[k].tolist() for k in ("id", "num_frames", "action_dim", "state_dim")))
+        for position, (i, n, a, s), data in zip(places, kinds, _sections(f, entries, "meta")):
+            embodiment, task, fps, success, reward = decode_meta(data)
+            rows.append((name, position, i, embodiment, task, n, fps, a, s, success, reward))
+            if len(rows) >= 4096:
                 yield _batch(rows, arrow)
-
-
-def _vectors(values: np.ndarray) -> pa.Array:
-    n, k = values.shape
-    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * k), pa.array(np.ascontiguousarray(values, np.float32).ravel()))
+                rows = []
+        if rows:
+            yield _batch(rows, arrow)
+
+    def _frames(self, f: pa.NativeFile, name: str, places: range | list, entries: np.ndarray, arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
+        held, at, size = [], [], 0
+        kinds = zip(*(entries[k].tolist() for k in ("num_frames", "state_dim", "action_dim")))
+        for position, kind, data in zip(places, kinds, _sections(f, entries, "actions")):
+            held.append(decode_frames(data, *kind))
+            at.append(position)
+            size += len(data)
+            if size >= READ // 4:
+                yield _frame_batch(name, at, held, arrow)
+                held, at, size = [], [], 0
+        if held:
+            yield _frame_batch(name, at, held, arrow)
+
+    def _images(self, f: pa.NativeFile, name: str, places: range | list, entries: np.ndarray, arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for position, n, data in zip(places, entries["num_frames"].tolist(), _sections(f, entries, "images")):
+            rows += [(name, position, *image) for image in decode_images(data, n, self.decoded)]
+            if len(rows) >= 256:
+                yield _batch(rows, arrow)
+                rows = []
+        if rows:
+            yield _batch(rows, arrow)
+
+
+def _sections(f: pa.NativeFile, entries: np.ndarray, name: str) -> Iterator[bytes]:
+    """The section of each entry, neighbours read together."""
+    begin, length = entries[f"{name}_offset"].tolist(), entries[f"{name}_length"].tolist()
+    k = 0
+    while k < len(begin):
+        first, end, j = begin[k], begin[k] + length[k], k + 1
+        while j < len(begin) and 0 <= begin[j] - end <= GAP and begin[j] + length[j] - first <= READ:
+            end, j = begin[j] + length[j], j + 1
+        data = f.read_at(end - first, first)
+        for i in range(k, j):
+            yield data[begin[i] - first : begin[i] - first + length[i]]
+        k = j
+
+
+def _frame_batch(name: str, positions: list[int], held: list[np.ndarray], arrow: pa.Schema) -> pa.RecordBatch:
+    """The frames of whole episodes, which may differ in their dimensions."""
+    sizes = [len(x) for x in held]
+    vectors = lambda c: pa.ListArray.from_arrays(
+        pa.array(np.concatenate([[0], np.cumsum(np.repeat([x[c].shape[1] for x in held], sizes))]).astype(np.int32)), pa.array(np.concatenate([x[c].ravel() for x in held]).astype(np.float32, copy=False))
+    )
+    every = lambda c: np.concatenate([x[c] for x in held])
+    steps = np.concatenate([np.arange(n) for n in sizes])
+    return pa.RecordBatch.from_arrays(
+        [pa.array([name] * len(steps)), pa.array(np.repeat(np.array(positions, np.int64), sizes)), pa.array(steps), vectors("state"), vectors("action"), pa.array(every("reward")), pa.array(every("terminal") != 0)],
+        schema=arrow,
+    )
 
 
 def _batch(rows: list[tuple], kind: pa.Schema) -> pa.RecordBatch:
@@ -316,7 +440,9 @@ def _batch(rows: list[tuple], kind: pa.Schema) -> pa.RecordBatch:
 class _Done(WriterCommitMessage):
     path: str = ""
     first: int = 0
-    entries: bytes = b""
+    episodes: int = 0
+    frames: int = 0
+    size: int = 0
 
 
 class _Writer(DataSourceArrowWriter):
@@ -334,46 +460,50 @@ class _Writer(DataSourceArrowWriter):
         files, where = _filesystem(self.scratch)
         files.create_dir(where, recursive=True)
         target = f"{where}/{uuid.uuid4().hex}"
-        entries, at, first, last = [], 0, None, None
-        with files.open_output_stream(target) as out:
+        entries, at, first, last, episodes, total = [], 0, None, None, 0, 0
+        with files.open_output_stream(target, buffer_size=1 << 20) as out, files.open_output_stream(f"{target}.index") as index:
             for batch in batches:
-                for row in batch.to_pylist():
-                    if last is not None and row["position"] <= last:
+                for position, meta, actions, pictures, (n, a, s) in encoded(batch, self.quality):
+                    if last is not None and position <= last:
                         raise CompactError("OutOfOrder", "rows must be sorted by position; use compact.write")
-                    last = row["position"]
+                    last = position
                     first = last if first is None else first
-                    meta, actions, pictures, (n, a, s) = encode_episode(row, self.quality)
                     begin = at, at + len(meta), at + len(meta) + len(actions)
                     entries.append((0, n, a, s, begin[1], len(actions), begin[2], len(pictures), begin[0], len(meta)))
                     at = begin[2] + len(pictures)
                     out.write(meta + actions + pictures)
-        return _Done(target, -1 if first is None else first, np.array(entries, INDEX).tobytes())
+                    episodes, total = episodes + 1, total + n
+                    if len(entries) >= BLOCK:
+                        index.write(np.array(entries, INDEX).tobytes())
+                        entries = []
+            index.write(np.array(entries, INDEX).tobytes())
+        return _Done(target, -1 if first is None else first, episodes, total, at)
 
     def commit(self, messages: list) -> None:
         files, where = _filesystem(self.path)
-        done = sorted((m for m in messages if m is not None and m.entries), key=lambda m: m.first)
-        index, at = Index(), HEADER.size
+        done = sorted((m for m in messages if m is not None and m.episodes), key=lambda m: m.first)
         target = f"{_filesystem(self.scratch)[1]}/whole"
         files.create_dir(posixpath.dirname(target), recursive=True)
-        parts = []
-        for m in done:
-            entries = np.frombuffer(m.entries, INDEX).copy()
-            size = int((entries["actions_length"] + entries["images_length"] + entries["meta_length"]).sum())
-            for section in ("actions", "images", "meta"):
-                entries[f"{section}_offset"] += np.uint64(at)
-            at += size
-            index = index.appended(entries)
-            parts.append(m.path)
-        index.entries["id"] = np.arange(len(index))
         # the index's place is known before anything is written, so the header comes first and the move last
-        header = Header(len(index), int(index.entries["num_frames"].sum()), at, index.byte_size, self.created)
+        episodes, end = sum(m.episodes for m in done), HEADER.size + sum(m.size for m in done)
+        header = Header(episodes, sum(m.frames for m in done), end, episodes * INDEX.itemsize, self.created)
         with files.open_output_stream(target) as out:
             out.write(header.encode())
-            for part in parts:
-                with files.open_input_stream(part) as piece:
+            for m in done:
+                with files.open_input_stream(m.path) as piece:
                     while block := piece.read(8 << 20):
                         out.write(block)
-            out.write(index.encode())
+            at, position = HEADER.size, 0
+            for m in done:
+                with files.open_input_file(f"{m.path}.index") as piece:
+                    for k in range(0, m.episodes, BLOCK):
+                        entries = _entries(piece, 0, range(k, min(k + BLOCK, m.episodes)))
+                        for section in ("actions", "images", "meta"):
+                            entries[f"{section}_offset"] += np.uint64(at)
+                        entries["id"] = np.arange(position, position + len(entries))
+                        out.write(entries.tobytes())
+                        position += len(entries)
+                at += m.size
         if self.overwrite and files.get_file_info(where).type.name != "NotFound":
             files.delete_file(where)
         files.move(target, where)
@@ -418,7 +548,7 @@ def read(spark: SparkSession, *paths: str, positions: list[int] | None = None, d
         r = r if positions is None else r.option("positions", ",".join(map(str, positions)))
         return r.load(",".join(paths))
 
-    headers = [(posixpath.splitext(posixpath.basename(p))[0], opened(p)[0]) for p in paths]
+    headers = [(posixpath.splitext(posixpath.basename(p))[0], header_of(p)) for p in paths]
     catalog = spark.createDataFrame([(n, *h.version, h.num_episodes, h.num_frames, h.index_offset, h.index_length, h.created) for n, h in headers], schemas.CATALOG)
     return Dataset(table("episodes"), table("frames"), table("images"), catalog)
 

@@ -152,3 +152,37 @@ def test_driver_holds_no_index(tmp_path, monkeypatch):
     assert [list(p.places) for p in parts] == [[3, 17, 499]]
     rows = [r for b in reader.read(parts[0]) for r in b.to_pylist()]
     assert [(r["position"], r["timestep"], r["state"], r["action"]) for r in rows] == [(p, t, [p, t], [t] * (1 + p % 2)) for p in (3, 17, 499) for t in range(sizes[p])]
+
+
+def test_frames_are_read_and_encoded_in_batches(tmp_path, monkeypatch):
+    sizes = [1 + p % 3 for p in range(500)]
+    path = str(tmp_path / "f.traj")
+    written(path, sizes)
+    monkeypatch.setattr(compact, "BLOCK", 90, raising=False)
+    reader = compact._Reader({"path": path}, "frames")
+    monkeypatch.setattr(compact, "SPLIT", 5000)
+    parts = reader.partitions()
+    # every episode in one part, none beyond the bytes of a split and an episode; the plan does not grow with them
+    assert [p for x in parts for p in x.places] == list(range(500)) and len(parts) > 2 and all(len(pickle.dumps(x)) < 600 for x in parts)
+    size = compact.opened(path)[1].entries["actions_length"]
+    assert all(size[list(x.places)][:-1].sum() < 5000 for x in parts) and all(size[list(x.places)].sum() >= 5000 for x in parts[:-1])
+    batches = [b for x in parts for b in reader.read(x)]
+    # one for each episode before
+    assert len(batches) < 30
+    rows = [r for b in batches for r in b.to_pylist()]
+    assert [(r["position"], r["timestep"], r["state"], r["action"]) for r in rows] == [(p, t, [p, t], [t] * (1 + p % 2)) for p, n in enumerate(sizes) for t in range(n)]
+
+
+def test_batches_are_encoded_as_single_episodes_are():
+    frame = lambda **more: {"timestep": 0, "state": [1.0, 2.0], "action": [3.0], "reward": None, "is_terminal": None, "images": []} | more
+    row = lambda p, frames, dim=1: {"position": p, "embodiment": "ü", "language_instruction": None, "fps": None, "success": None, "total_reward": 1.5, "action_dim": dim, "frames": frames}
+    kind = pa.RecordBatch.from_pylist([row(0, [frame(reward=1.0, is_terminal=True, images=[schema.image("c", 1, 1, 1, b"1")])])]).schema
+    of = lambda *rows: pa.RecordBatch.from_pylist(list(rows), kind)
+    same = of(row(0, [frame(reward=-0.0, is_terminal=True), frame(reward=float("nan"), images=None)]), row(4, [frame(reward=2.0)], None), row(5, [frame()] * 3))
+    shown = of(row(0, [frame(images=[schema.image("c", 1, 1, 1, b"1")])]), row(1, [frame()]))
+    mixed = of(row(0, [frame(state=[])]), row(1, [frame(action=[1.0, 2.0])], 2))
+    for batch, together in ((same, True), (same.slice(1), True), (same.slice(1, 1), True), (shown, False), (mixed, False)):
+        assert (compact._plain(batch) is not None) == together
+        assert list(compact.encoded(batch)) == [(r["position"], *compact.encode_episode(r)) for r in batch.to_pylist()]
+    for bad, why in (([], "EmptyEpisode"), (None, "EmptyEpisode"), ([frame(action=[])], "ActionDimMismatch"), ([frame(), frame(state=[])], "StateDimMismatch")):
+        refused(why, lambda b: list(compact.encoded(b)), of(row(0, [frame()]), row(1, bad)))

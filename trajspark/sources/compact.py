@@ -304,12 +304,14 @@ def opened(path: str) -> tuple[Header, Index]:
 
 def _entries(f: pa.NativeFile, index_offset: int, places: range | list[int]) -> np.ndarray:
     """The entries at ascending places; those far from each other are read by themselves."""
-    runs = np.array(places)
-    found = []
-    for run in np.split(runs, np.flatnonzero(np.diff(runs) > ENTRY_GAP) + 1):
-        first, n = int(run[0]), int(run[-1] - run[0]) + 1
-        found.append(np.frombuffer(f.read_at(n * INDEX.itemsize, index_offset + first * INDEX.itemsize), INDEX)[run - first])
-    return np.concatenate(found)
+    def run(first: int, n: int) -> np.ndarray:
+        return np.frombuffer(f.read_at(n * INDEX.itemsize, index_offset + first * INDEX.itemsize), INDEX, n)
+
+    if isinstance(places, range):
+        return run(places.start, len(places))
+    wanted = np.array(places)
+    runs = np.split(wanted, np.flatnonzero(np.diff(wanted) > ENTRY_GAP) + 1)
+    return np.concatenate([run(int(x[0]), int(x[-1] - x[0]) + 1)[x - x[0]] for x in runs])
 
 
 def from_bytes(data: bytes) -> tuple[Header, Index]:
@@ -497,7 +499,7 @@ class _Writer(DataSourceArrowWriter):
             for m in done:
                 with files.open_input_file(f"{m.path}.index") as piece:
                     for k in range(0, m.episodes, BLOCK):
-                        entries = _entries(piece, 0, range(k, min(k + BLOCK, m.episodes)))
+                        entries = _entries(piece, 0, range(k, min(k + BLOCK, m.episodes))).copy()
                         for section in ("actions", "images", "meta"):
                             entries[f"{section}_offset"] += np.uint64(at)
                         entries["id"] = np.arange(position, position + len(entries))

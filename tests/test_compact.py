@@ -186,3 +186,21 @@ def test_batches_are_encoded_as_single_episodes_are():
         assert list(compact.encoded(batch)) == [(r["position"], *compact.encode_episode(r)) for r in batch.to_pylist()]
     for bad, why in (([], "EmptyEpisode"), (None, "EmptyEpisode"), ([frame(action=[])], "ActionDimMismatch"), ([frame(), frame(state=[])], "StateDimMismatch")):
         refused(why, lambda b: list(compact.encoded(b)), of(row(0, [frame()]), row(1, bad)))
+
+
+def test_episodes_are_planned_without_the_index(tmp_path, monkeypatch):
+    sizes = [1 + p % 3 for p in range(500)]
+    path = str(tmp_path / "e.traj")
+    written(path, sizes)
+    monkeypatch.setattr(compact, "SPLIT", 256 * 150)
+    for name in ("BLOCK", "READ"):
+        monkeypatch.setattr(compact, name, 70, raising=False)
+    reader = compact._Reader({"path": path}, "episodes")
+    with monkeypatch.context() as m:
+        m.setattr(Index, "decode", None)
+        m.setattr(compact, "_entries", None, raising=False)
+        parts = reader.partitions()
+    assert [len(p.places) for p in parts] == [150, 150, 150, 50] and all(len(pickle.dumps(p)) < 600 for p in parts)
+    rows = [r for p in parts for b in reader.read(p) for r in b.to_pylist()]
+    assert [(r["position"], r["episode_id"], r["embodiment"], r["num_frames"], r["action_dim"], r["state_dim"]) for r in rows] == [(p, p, f"e{p}", n, 1 + p % 2, 2) for p, n in enumerate(sizes)]
+    assert [list(p.places) for p in compact._Reader({"path": path, "positions": "7,2,600"}, "episodes").partitions()] == [[2, 7]]

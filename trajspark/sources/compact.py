@@ -3,8 +3,8 @@
 A file is a header of 64 bytes, each episode's metadata, actions section and images
 section, and an index of 64 bytes an episode at its end; all numbers little-endian.
 Readers see three tables (option ``table``: ``episodes``, ``frames`` or ``images``). The
-driver reads the header, and passes over the index in blocks to cut it into ranges of
-whole episodes, about ``SPLIT`` bytes each; tasks read their own entries and sections,
+driver reads the header, and for frames and images passes over the index in blocks to cut
+it into ranges of whole episodes, about ``SPLIT`` bytes each; tasks read their own entries and sections,
 and for episodes or frames no images beyond gaps of ``GAP`` bytes. Option ``positions``
 (comma-separated) reads these episodes and their entries only. Paths are local or any
 that pyarrow opens.
@@ -44,6 +44,8 @@ INDEX = np.dtype([("id", "<u8"), ("num_frames", "<u4"), ("action_dim", "<u2"), (
 SUCCESS = {None: 0, False: 1, True: 2}
 #: Bytes of episodes that a task reads, about.
 SPLIT = 32 << 20
+#: Bytes of an episode's metadata, as they count for ``SPLIT``.
+EPISODE = 256
 #: Entries that are held at once.
 BLOCK = 1 << 15
 #: Sections no further apart are read together, up to so many bytes.
@@ -233,8 +235,8 @@ def _plain(batch: pa.RecordBatch) -> tuple | None:
     out = np.zeros(len(each), frame_type(state_dim, want))
     out["state"], out["action"] = vectors["state"], vectors["action"]
     # a missing reward is kept as 0
-    out["reward"] = pc.fill_null(each.field("reward"), 0.0).to_numpy(zero_copy_only=False) + np.float32(0)
-    out["terminal"] = pc.fill_null(each.field("is_terminal"), False).to_numpy(zero_copy_only=False)
+    out["reward"] = pc.fill_null(each.field("reward").cast(pa.float32()), 0.0).to_numpy(zero_copy_only=False) + np.float32(0)
+    out["terminal"] = pc.fill_null(each.field("is_terminal").cast(pa.bool_()), False).to_numpy(zero_copy_only=False)
     return sizes, out.tobytes(), out.itemsize, want, state_dim
 
 
@@ -343,6 +345,11 @@ class _Reader(DataSourceReader):
                 n = header.index_length // INDEX.itemsize
                 chosen = range(n) if self.only is None else sorted(p for p in self.only if 0 <= p < n)
                 start, total = 0, 0
+                if self.table == "episodes":
+                    # of one weight each, so that the index tells nothing
+                    step = max(1, SPLIT // EPISODE)
+                    parts += [_Part(path, header.index_offset, chosen[k : k + step]) for k in range(0, len(chosen), step)]
+                    continue
                 for k in range(0, len(chosen), BLOCK):
                     ends = total + np.cumsum(self._sizes(_entries(f, header.index_offset, chosen[k : k + BLOCK])))
                     cut = 0
@@ -355,8 +362,6 @@ class _Reader(DataSourceReader):
         return parts or [_Part()]
 
     def _sizes(self, entries: np.ndarray) -> np.ndarray:
-        if self.table == "episodes":
-            return np.full(len(entries), 256)
         return (entries["actions_length"] + (entries["images_length"] if self.table == "images" else np.uint64(0))).astype(np.int64)
 
     def read(self, part: _Part) -> Iterator[pa.RecordBatch]:

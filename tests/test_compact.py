@@ -204,3 +204,14 @@ def test_episodes_are_planned_without_the_index(tmp_path, monkeypatch):
     rows = [r for p in parts for b in reader.read(p) for r in b.to_pylist()]
     assert [(r["position"], r["episode_id"], r["embodiment"], r["num_frames"], r["action_dim"], r["state_dim"]) for r in rows] == [(p, p, f"e{p}", n, 1 + p % 2, 2) for p, n in enumerate(sizes)]
     assert [list(p.places) for p in compact._Reader({"path": path, "positions": "7,2,600"}, "episodes").partitions()] == [[2, 7]]
+
+
+def test_header_alone_makes_the_catalog(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "h.traj")
+    written(path, [2, 3])
+    monkeypatch.setattr(Index, "decode", None)
+    row = compact.read(spark, path).catalog.first()
+    assert (row["num_episodes"], row["num_frames"], row["index_length"], row["created_timestamp"]) == (2, 5, 128, 5)
+    with open(path, "r+b") as f:
+        f.write(Header(2, 5, row["index_offset"], 127, 5).encode())
+    refused("BadAlignment", compact.read, spark, path)

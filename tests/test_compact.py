@@ -7,6 +7,7 @@ import struct
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import DataFrameReader
 from pyspark.sql import functions as F
 
 from trajspark import schema
@@ -215,3 +216,14 @@ def test_header_alone_makes_the_catalog(spark, tmp_path, monkeypatch):
     with open(path, "r+b") as f:
         f.write(Header(2, 5, row["index_offset"], 127, 5).encode())
     refused("BadAlignment", compact.read, spark, path)
+
+
+def test_catalog_loads_no_table(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "c.traj")
+    written(path, [2, 3])
+    with monkeypatch.context() as m:
+        m.setattr(DataFrameReader, "load", None)
+        data = compact.read(spark, path)
+        assert data.catalog.first()["num_episodes"] == 2 and data.num_frames() == 5
+    assert data.episodes is data.episodes
+    assert (data.episodes.count(), data.frames.count(), data.images.count()) == (2, 5, 0)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -163,6 +166,17 @@ class Dataset:
         return Dataset(spark.read.parquet(f"{path}/episodes"), **{n: spark.read.parquet(f"{path}/{n}") for n in tables})
 
 
+class OnDemand(Dataset):
+    """A dataset that makes each table by ``table(name)`` when it is first asked for; the catalog needs none."""
+
+    def __init__(self, table: Callable[[str], DataFrame], catalog: DataFrame | None = None):
+        self._table, self.catalog = table, catalog
+
+    episodes = cached_property(lambda self: self._table("episodes"))
+    frames = cached_property(lambda self: self._table("frames"))
+    images = cached_property(lambda self: self._table("images"))
+
+
 def merge(inputs: list[DataFrame], query: str | None = None) -> DataFrame:
     """All metadata in order of the inputs, duplicates kept, filtered, with new ids and positions."""
     return _merged(inputs, query).drop("_input", "_was")

@@ -544,8 +544,8 @@ class CompactSource(DataSource):
 
 
 def read(spark: SparkSession, *paths: str, positions: list[int] | None = None, decode: bool = True):
-    """The files as one dataset; the catalog has a row for each."""
-    from trajspark.operators.dataset import Dataset
+    """The files as one dataset; the catalog has a row for each and is made of their headers alone."""
+    from trajspark.operators.dataset import OnDemand
 
     spark.dataSource.register(CompactSource)
     paths = tuple(map(absolute, paths))
@@ -557,7 +557,8 @@ def read(spark: SparkSession, *paths: str, positions: list[int] | None = None, d
 
     headers = [(posixpath.splitext(posixpath.basename(p))[0], header_of(p)) for p in paths]
     catalog = spark.createDataFrame([(n, *h.version, h.num_episodes, h.num_frames, h.index_offset, h.index_length, h.created) for n, h in headers], schemas.CATALOG)
-    return Dataset(table("episodes"), table("frames"), table("images"), catalog)
+    # Spark starts Python processes on the driver for a table that is loaded
+    return OnDemand(table, catalog)
 
 
 def write(dataset, path: str, quality: int | None = None, overwrite: bool = True, created: int | None = None) -> None:
